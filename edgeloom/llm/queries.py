@@ -5,7 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents
+from .common import documents, id_bucket
+
+
+def default_tokenizer() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
 
 
 def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,6 +21,30 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .langid import identify, learn
+
+    docs = documents(spark, sf_dir).select("doc_id", "text", "lang", (id_bucket(4) == 2).alias("held_out"))
+    model = learn(docs.where("not held_out"))
+    out = identify(docs, model)
+    return out.select("doc_id", (id_bucket(4) == 2).alias("held_out"), "lang_pred", "score")
+
+
+def op4_token_ids(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
+    from .tokens import read, write
+
+    return read(spark, write(documents(spark, sf_dir), tokenizer or default_tokenizer()))
+
+
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import learn, scored
+
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(id_bucket(3) != 1)
+    out = scored(docs, learn(docs, labels))
+    return out.select("doc_id", (id_bucket(3) == 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .exact import exact_groups
 
@@ -33,4 +63,10 @@ ORACLE_SQL = {
     """,
 }
 
-QUERIES = {"op1_sharding": op1_sharding, "op8_exact_dedup": op8_exact_dedup}
+QUERIES = {
+    "op1_sharding": op1_sharding,
+    "op3_language_id": op3_language_id,
+    "op4_token_ids": op4_token_ids,
+    "op5_quality": op5_quality,
+    "op8_exact_dedup": op8_exact_dedup,
+}
