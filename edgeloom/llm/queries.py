@@ -45,6 +45,12 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (id_bucket(3) == 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op7_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .neardup import near_duplicates
+
+    return near_duplicates(documents(spark, sf_dir), k=4, num=80, den=100)
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .exact import exact_groups
 
@@ -54,7 +60,20 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 #: A-Z only, as the contracts lower-case.
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+_WORDS = f"list_filter(string_split_regex({_LOWER}, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')"
+
 ORACLE_SQL = {
+    "op7_minhash_dedup": f"""
+        with recursive w as (select doc_id, {_WORDS} as words from documents),
+        s as (select distinct doc_id, unnest(case when len(words) = 0 then [] when len(words) < 4 then [array_to_string(words, ' ')]
+              else list_transform(range(1, len(words) - 2), lambda i: array_to_string(words[i:i + 3], ' ')) end) as shingle from w),
+        n as (select w.doc_id, count(s.shingle) as n_shingles from w left join s on w.doc_id = s.doc_id group by w.doc_id),
+        i as (select a.doc_id as a, b.doc_id as b, count(*) as both_n from s a join s b on a.shingle = b.shingle and a.doc_id <> b.doc_id group by 1, 2),
+        link as (select a, b from i join n na on a = na.doc_id join n nb on b = nb.doc_id where 100 * both_n >= 80 * (na.n_shingles + nb.n_shingles - both_n)),
+        reach(doc_id, other) as (select doc_id, doc_id from n union select r.doc_id, l.b from reach r join link l on r.other = l.a),
+        low as (select doc_id, min(other) as component_id from reach group by doc_id)
+        select n.doc_id, n.n_shingles, component_id, n.doc_id = component_id as kept from n join low on n.doc_id = low.doc_id
+    """,
     "op8_exact_dedup": f"""
         with t as (select doc_id, {_LOWER} as body from documents),
         g as (select body, max(doc_id) as keep_id, count(*) as group_size from t group by body)
@@ -68,5 +87,6 @@ QUERIES = {
     "op3_language_id": op3_language_id,
     "op4_token_ids": op4_token_ids,
     "op5_quality": op5_quality,
+    "op7_minhash_dedup": op7_minhash_dedup,
     "op8_exact_dedup": op8_exact_dedup,
 }
