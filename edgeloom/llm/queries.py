@@ -45,6 +45,12 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (id_bucket(3) == 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontam import matches
+
+    return matches(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op7_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .neardup import near_duplicates
 
@@ -57,12 +63,30 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(documents(spark, sf_dir))
 
 
+def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lm import score
+
+    return score(documents(spark, sf_dir), id_bucket(5) == 1)
+
+
 #: A-Z only, as the contracts lower-case.
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 _WORDS = f"list_filter(string_split_regex({_LOWER}, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')"
 
 ORACLE_SQL = {
+    "op6_decontamination": f"""
+        with item as (select item_id, {_WORDS} as words from (select distinct item_id, text from benchmark)),
+        q as (select item_id, least(5, len(words)) as n, words from item where len(words) > 0),
+        qs as (select distinct item_id, n, unnest(list_transform(range(1, len(words) - n + 2), lambda i: array_to_string(words[i:i + n - 1], ' '))) as shingle from q),
+        d as (select doc_id, {_WORDS} as words from documents),
+        ds as (select distinct doc_id, l.n, unnest(list_transform(range(1, len(words) - l.n + 2), lambda i: array_to_string(words[i:i + l.n - 1], ' '))) as shingle
+               from d, (select distinct n from q) l where len(words) >= l.n),
+        size as (select item_id, count(*) as item_shingles from qs group by item_id),
+        hit as (select doc_id, qs.item_id, count(*) as found from ds join qs on ds.n = qs.n and ds.shingle = qs.shingle group by 1, 2)
+        select doc_id, hit.item_id, cast(item_shingles as integer) as item_shingles, cast(found as integer) as found
+        from hit join size on hit.item_id = size.item_id where 100 * found >= 80 * item_shingles
+    """,
     "op7_minhash_dedup": f"""
         with recursive w as (select doc_id, {_WORDS} as words from documents),
         s as (select distinct doc_id, unnest(case when len(words) = 0 then [] when len(words) < 4 then [array_to_string(words, ' ')]
@@ -87,6 +111,8 @@ QUERIES = {
     "op3_language_id": op3_language_id,
     "op4_token_ids": op4_token_ids,
     "op5_quality": op5_quality,
+    "op6_decontamination": op6_decontamination,
     "op7_minhash_dedup": op7_minhash_dedup,
     "op8_exact_dedup": op8_exact_dedup,
+    "op10_lm_scoring": op10_lm_scoring,
 }
