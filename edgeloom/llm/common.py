@@ -106,6 +106,12 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def packed(docs: DataFrame) -> DataFrame:
+    """doc_id and text, and all columns as `row`: no column's name can clash. select("row.*") unpacks."""
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), row)
+
+
 def id_bucket(of: int):
     """crc32(doc_id as text) mod `of`: the folds of the contracts."""
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % of

@@ -22,8 +22,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import mixed, shingle_hashes, texts_of, words_of
+from .common import column, mixed, packed, shingle_hashes, texts_of, words_of
 
 #: Words of items in a block.
 BLOCK_WORDS = 2_000_000
@@ -88,38 +89,39 @@ class Sketches:
         return out
 
 
-def searched(docs: DataFrame, benchmark: DataFrame, keep: list[str], k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """The columns `keep` of each row and `_found`, the items that its text holds to the share num / den."""
+def searched(docs: DataFrame, benchmark: DataFrame, keep: str, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """The column `keep` of each row and `found`, the items that its text holds to the share num / den."""
     spark = docs.sparkSession
     items = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).distinct()
     words = items.agg(F.sum(F.size(F.split(F.coalesce("text", F.lit("")), r"\s+")))).first()[0] or 0
     blocks = -(-words // BLOCK_WORDS) or 1
-    out = docs.select(*keep, F.col("text").cast("string").alias("_text"), F.lit(None).cast(_FOUND).alias("_found"))
-    schema = out.schema
+    out = docs.select(keep, F.col("text").cast("string"), F.lit(None).cast(_FOUND).alias("found"))
+    schema = T.StructType([T.StructField(f.name, f.dataType) for f in out.schema])
     for b in range(blocks):
         rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).collect()  # about BLOCK_WORDS words
         rows = sorted((((r.item_id, None if r.text is None else r.text.encode()) for r in rows)), key=repr)
         shared = spark.sparkContext.broadcast(rows)
+        last = b == blocks - 1
 
-        def run(batches, shared=shared):
+        def run(batches, shared=shared, last=last):
             sketches = Sketches(shared.value, k, num, den)
             for batch in batches:
-                found = [sketches.find(t) for t in texts_of(batch, "_text")]
-                at = batch.schema.get_field_index("_found")
-                before = batch.column(at).to_pylist()
+                found = [sketches.find(t) for t in texts_of(batch)]
+                before = column(batch, "found").to_pylist()
                 both = [[*(x or []), *({"item_id": i, "item_shingles": q, "found": n} for i, q, n in y)] for x, y in zip(before, found, strict=True)]
-                yield batch.set_column(at, "_found", pa.array(both, _FOUND_TYPE))
+                text = pa.nulls(batch.num_rows, pa.string()) if last else column(batch, "text")
+                yield pa.RecordBatch.from_arrays([column(batch, keep), text, pa.array(both, _FOUND_TYPE)], [keep, "text", "found"])
 
         out = out.mapInArrow(run, schema)
-    return out.drop("_text")
+    return out.select(keep, "found")
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """doc_id, item_id, item_shingles and found of each item in each document."""
-    found = searched(docs.select(F.col("doc_id").cast("long"), "text"), benchmark, ["doc_id"], k, num, den)
-    return found.select("doc_id", F.inline("_found"))
+    found = searched(packed(docs.select("doc_id", "text")), benchmark, "doc_id", k, num, den)
+    return found.select("doc_id", F.inline("found"))
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """The rows whose texts hold no item."""
-    return searched(docs, benchmark, docs.columns, k, num, den).where(F.size("_found") == 0).select(*docs.columns)
+    return searched(packed(docs), benchmark, "row", k, num, den).where(F.size("found") == 0).select("row.*")

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import block_pairs, forest, shared_buckets
-from .common import column, join_groups, keep_keys, shingle_set, stored, texts_of
+from .common import column, join_groups, keep_keys, packed, shingle_set, stored, texts_of
 from .graph import components
 
 HASHES, ROWS = 128, 4
@@ -162,3 +162,15 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100)
     out = join_groups(full.select("doc_id", "n_shingles", *name), named, name, "copies", sketch.count()).select("doc_id", "n_shingles", "component_id")
     rest = sketch.where("not (n_shingles > 0 and doc_id is not null)").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return out.unionByName(rest).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+def deduplicated(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """One document of each component: the rows with its smallest doc_id (the first text of a repeated id, in byte
+    order). Rows with a null doc_id stay."""
+    ids = near_duplicates(docs, k, num, den).where("kept and doc_id is not null").select("doc_id")
+    rows = packed(docs)
+    repeated = docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count() > 0
+    kept = rows.join(stored(ids.distinct(), "kept"), "doc_id", "left_semi")
+    if repeated:
+        kept = kept.groupBy("doc_id").agg(F.min(F.struct("text", "row")).alias("least")).select("doc_id", "least.text", "least.row")
+    return kept.unionByName(rows.where("doc_id is null")).select("row.*")

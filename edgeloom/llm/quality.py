@@ -17,8 +17,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import byte_slices, column, texts_of
+from .common import byte_slices, column, packed, texts_of
 
 SAMPLE = 20_000
 BINS = 32
@@ -180,16 +181,20 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict:
     return fit(x[order], y[order])
 
 
-def scored(docs: DataFrame, model: dict, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The columns `keep` and the score of each row."""
+def scored(docs: DataFrame, model: dict, *keep: str) -> DataFrame:
+    """The columns `keep` (other than `text` and `score`) and the score of each row."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    own = docs.select(*keep, F.col("text").cast("string").alias("_text"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in own.schema[: len(keep)]) + ", score double"
+    own = docs.select(*keep, "text")
+    schema = T.StructType([*own.schema[: len(keep)], T.StructField("score", T.DoubleType())])
 
     def run(batches):
         for batch in batches:
-            text = batch.select(["_text"]).rename_columns(["text"])
-            score = probability(features(text), shared.value)
+            score = probability(features(batch), shared.value)
             yield pa.RecordBatch.from_arrays([*(column(batch, c) for c in keep), pa.array(score)], [*keep, "score"])
 
     return own.mapInArrow(run, schema)
+
+
+def accepted(docs: DataFrame, model: dict, least: float = 0.5) -> DataFrame:
+    """The rows with a score of at least `least`."""
+    return scored(packed(docs), model, "row").where(F.col("score") >= least).select("row.*")

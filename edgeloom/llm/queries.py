@@ -21,6 +21,12 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mixing import mix
+
+    return mix(documents(spark, sf_dir))
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .langid import identify, learn
 
@@ -41,7 +47,7 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = documents(spark, sf_dir).select("doc_id", "text")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(id_bucket(3) != 1)
-    out = scored(docs, learn(docs, labels))
+    out = scored(docs, learn(docs, labels), "doc_id")
     return out.select("doc_id", (id_bucket(3) == 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
@@ -63,6 +69,13 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(documents(spark, sf_dir))
 
 
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lines import line_classes
+
+    out = line_classes(documents(spark, sf_dir))
+    return out.withColumnRenamed("id", "line_id").withColumn("kept", F.col("doc_id").eqNullSafe(F.col("class_doc_id")) & (F.col("line") == F.col("class_line")))
+
+
 def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .lm import score
 
@@ -108,11 +121,13 @@ ORACLE_SQL = {
 
 QUERIES = {
     "op1_sharding": op1_sharding,
+    "op2_mixing": op2_mixing,
     "op3_language_id": op3_language_id,
     "op4_token_ids": op4_token_ids,
     "op5_quality": op5_quality,
     "op6_decontamination": op6_decontamination,
     "op7_minhash_dedup": op7_minhash_dedup,
     "op8_exact_dedup": op8_exact_dedup,
+    "op9_line_dedup": op9_line_dedup,
     "op10_lm_scoring": op10_lm_scoring,
 }
