@@ -23,21 +23,29 @@ from bisect import bisect_right
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import column, local_path, new_folder, partitions_for
+from .common import column, local_path, new_folder, partitions_for, text_rows
 
+_BEFORE_SPACE = r"[\s\x0b\x1c-\x1f\x85\p{Z}] "
+#: A stop or comma that isn't after a word, more white space than a line feed, or the marks themselves.
+_TANGLED = r"(^|[^\pL\pN])[.,]([ \n]|$)|\n([\s\x0b\x1c-\x1f\x85\p{Z}]|$)|[\x00\x01]"
 NO_ID = -(1 << 63)
-CACHE = 1_000_000
+#: Marks of what stands after a word, or after a line feed, without a space.
+AFTER_WORD, AFTER_FEED = "\0", "\1"
+#: Words that an encoder remembers.
+CACHE = 500_000
 
 
 class Encoder:
-    """Encodes texts with a byte-level BPE file of the tokenizers library, as bytes of ids.
+    """Encodes texts with a file of the tokenizers library, as bytes of ids.
 
-    Pre-tokenisation starts a new piece at each single space between two characters that aren't white space, so the
-    runs between such spaces are encoded on their own and remembered; other texts go to the library whole.
+    Pre-tokenisation starts a new piece at each single space between two characters that aren't white space, at a stop
+    or comma after a word, and at a line feed and after it. So the runs between them are encoded once, remembered, and
+    put together by number; other texts go to the library whole.
     """
 
     def __init__(self, path: str, end_id: int = 0):
@@ -48,46 +56,102 @@ class Encoder:
         self.tokenizer.encode_special_tokens = True
         self.code = "H" if self.tokenizer.get_vocab_size() <= 1 << 16 else "I"
         self.end = array(self.code, [end_id]).tobytes()
-        self.known: dict[str, bytes] = {}
+        self.known: dict[str, bytes] = {}  # ids of runs after a space
         kind = json.loads(self.tokenizer.to_str())
         pre = kind.get("pre_tokenizer") or {}
         self.splits = pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space") and not kind.get("normalizer")
+        vocabulary = self.tokenizer.get_vocab()
+        self.spaces = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.feeds = self.spaces.copy()
+        for token, i in vocabulary.items():  # how a byte-level vocabulary writes a space and a line feed
+            self.spaces[i], self.feeds[i] = token.startswith("\u0120"), token.startswith("\u010a")
+        self.marks = dict(zip(".,\n ", self.ids([".", ",", "\n", " "]), strict=True))
+        self.fixed = {AFTER_WORD + ".": self.marks["."], AFTER_WORD + ",": self.marks[","], AFTER_WORD + ".\n": self.marks["."] + self.marks["\n"], "": self.marks[" "]}
 
     def ids(self, texts: list[str]) -> list[bytes]:
-        return [array(self.code, e.ids).tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        """The ids of each text and the end id."""
-        parts, whole = [], []
-        for i, t in enumerate(texts):
-            t = t or ""
-            cut = t.split(" ") if self.splits else None
-            # A space after white space isn't single: such a text goes to the library whole.
-            if cut is None or len(cut) > 1 and ("" in cut or any(p[-1].isspace() for p in cut[:-1])):
-                parts.append(None)
-                whole.append(i)
+        """The ids of each text on its own."""
+        return [array(self.code, e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def joined(self, words: list[str], mark: str) -> list[bytes]:
+        """The ids of words without white space; many go as one text. Each stands after a space, or after a line feed,
+        whose own token isn't the word's: so the tokens that start with a mark tell the words apart."""
+        out: list[bytes] = []
+        starts, skip = (self.spaces, 0) if mark == " " else (self.feeds, 1)
+        for i in range(0, len(words), 1000):
+            some = words[i : i + 1000]
+            ids = np.array(self.tokenizer.encode_batch_fast([mark + mark.join(some)], add_special_tokens=False)[0].ids, np.int64)
+            at = np.flatnonzero(starts[ids])
+            raw, width = ids.astype(f"<u{len(self.end)}").tobytes(), len(self.end)
+            if len(at) == len(some):
+                cuts = (at * width).tolist()
+                out += [raw[a + skip * width : b] for a, b in zip(cuts, [*cuts[1:], len(raw)], strict=True)]
             else:
-                parts.append(cut)
-        if len(self.known) > CACHE:
-            self.known.clear()
-        known, new = self.known, set()
-        for p in parts:
-            if p:
-                new.update(p[1:])
-        new = sorted(new - known.keys())
-        stems = {w: w[:-1] if len(w) > 1 and w[-1] in ".," and w[-2].isalnum() else w for w in new}
-        need = sorted({s for s in stems.values() if s not in known})
-        known.update(zip(need, self.ids([" " + s for s in need]), strict=True))
-        marks = dict(zip(".,", self.ids([".", ","]), strict=True))
-        for w, s in stems.items():
-            if s is not w:
-                known[w] = known[s] + marks[w[-1]]
-        firsts = self.ids([p[0] if p else "" for p in parts])
-        out = [f + b"".join(map(known.__getitem__, p[1:])) + self.end if p else b"" for f, p in zip(firsts, parts, strict=True)]
-        for i, ids in zip(whole, self.ids([texts[i] or "" for i in whole]), strict=True):
-            out[i] = ids + self.end
+                out += self.ids([mark * (1 - skip) + w for w in some])
         return out
 
+    def learn(self, new: list[str]) -> None:
+        """Remembers the ids of runs. A run stands after a single space, or with a mark after a word or a line feed. A
+        stop or comma after a word is a piece of its own."""
+        known = self.known
+        plain, starts, ends, odd = [], [], [], []
+        for w in new:
+            if w.isalnum() or w[-1] not in ".," and w[0] > AFTER_FEED and w.split() == [w]:
+                plain.append(w)
+            elif w[0] == AFTER_FEED and w[1:].isalnum():
+                starts.append(w)
+            elif w[-1] in ".," and w[:-1].isalnum():
+                ends.append(w)
+            else:
+                odd.append(w)
+        known.update(zip(plain, self.joined(plain, " "), strict=True))
+        known.update(zip(starts, self.joined([w[1:] for w in starts], "\n"), strict=True))
+        stems = list({w[:-1] for w in ends if w[:-1] not in known})
+        known.update(zip(stems, self.joined(stems, " "), strict=True))
+        known.update((w, known[w[:-1]] + self.marks[w[-1]]) for w in ends)
+        known.update(zip(odd, self.ids([w[1:] if w[0] in (AFTER_WORD, AFTER_FEED) else " " + w for w in odd]), strict=True))
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, each with the end id, and how many each text has."""
+        texts = texts.cast(pa.string()).fill_null("")
+        n = len(texts)
+        # A space after white space isn't single: such a text goes to the library whole, as the head of an empty one.
+        single = pc.invert(pc.or_(pc.match_substring_regex(texts, _BEFORE_SPACE), pc.starts_with(texts, " "))) if self.splits else pa.array([False] * n)
+        plain = pc.if_else(single, texts, "")
+        marked = plain
+        for old, new in ((", ", f" {AFTER_WORD}, "), (". ", f" {AFTER_WORD}. "), (".\n", f" {AFTER_WORD}.\n {AFTER_FEED}")):
+            marked = pc.replace_substring(marked, old, new)
+        lists = pc.split_pattern(pc.if_else(pc.match_substring_regex(plain, _TANGLED), plain, marked), " ")
+        offsets = np.asarray(lists.offsets).astype(np.int64)
+        runs = lists.flatten().dictionary_encode()
+        heads = pc.if_else(single, lists.flatten().take(lists.offsets[:-1]), texts).to_pylist()
+
+        names = runs.dictionary.to_pylist()
+        if len(self.known) > CACHE:  # short words are the frequent ones
+            self.known = {w: v for w, v in self.known.items() if len(w) < 8}
+            if len(self.known) > CACHE // 2:
+                self.known = {}
+        self.known.update(self.fixed)
+        found = list(map(self.known.get, names))
+        gaps = [k for k, x in enumerate(found) if x is None]
+        self.learn([names[k] for k in gaps])
+        for k in gaps:
+            found[k] = self.known[names[k]]
+        found += [*self.ids(heads), self.end]
+
+        # Runs, heads and ends in the order of the texts, as places in `found`; then their ids side by side.
+        count, doc = np.diff(offsets), np.arange(n)
+        order = np.empty(offsets[-1] + n, np.int64)
+        order[np.arange(offsets[-1]) + np.repeat(doc, count)] = runs.indices.to_numpy()
+        order[offsets[:-1] + doc] = len(names) + doc
+        order[offsets[1:] + doc] = len(found) - 1
+        ids = np.frombuffer(b"".join(found), f"<u{len(self.end)}")
+        length = np.fromiter(map(len, found), np.int64, len(found)) // len(self.end)
+        start = np.cumsum(length) - length
+        length = length[order]
+        ends = np.cumsum(length)
+        place = np.repeat(start[order] - (ends - length), length) + np.arange(ends[-1] if n else 0)
+        return ids[place], np.diff(ends[offsets[1:] + doc], prepend=0)
+
 
 _encoders: dict[tuple[str, int], Encoder] = {}
 
@@ -107,22 +171,19 @@ def write(docs: DataFrame, tokenizer: str, end_id: int = 0, folder: str | None =
 
     def run(batches):
         enc, name = encoder(tokenizer, end_id), uuid.uuid4().hex
-        width, docs_, at, first = len(enc.end), 0, 0, None
+        width, docs_, at = len(enc.end), 0, 0
         tmp = f"{path}/{name}"
         os.makedirs(path, exist_ok=True)
         with open(f"{tmp}.ids.tmp", "wb") as ids, open(f"{tmp}.off.tmp", "wb") as off, open(f"{tmp}.doc.tmp", "wb") as doc:
             off.write(array("q", [0]).tobytes())
             for batch in batches:
-                keys, texts = column(batch, "doc_id"), column(batch, "text")
-                for i in range(0, len(keys), 500):
-                    coded = enc.encode(texts.slice(i, 500).to_pylist())
-                    ends = at + np.cumsum([len(c) // width for c in coded])
-                    ids.write(b"".join(coded))
+                if batch.num_rows:
+                    coded, counts = enc.encode(column(batch, "text"))
+                    ends = at + np.cumsum(counts)
+                    ids.write(coded.tobytes())
                     off.write(ends.astype("<i8").tobytes())
-                    key = [NO_ID if k is None else k for k in keys.slice(i, 500).to_pylist()]
-                    doc.write(array("q", key).tobytes())
-                    first = key[0] if first is None else first
-                    docs_, at = docs_ + len(key), int(ends[-1])
+                    doc.write(column(batch, "doc_id").fill_null(NO_ID).to_numpy().astype("<i8").tobytes())
+                    docs_, at = docs_ + batch.num_rows, int(ends[-1])
         for kind in ("ids", "off", "doc"):
             if docs_:
                 os.replace(f"{tmp}.{kind}.tmp", f"{tmp}.{kind}")
@@ -132,7 +193,7 @@ def write(docs: DataFrame, tokenizer: str, end_id: int = 0, folder: str | None =
             part = TaskContext.get().partitionId()
             yield pa.RecordBatch.from_pydict({"part": [part], "docs": [docs_], "tokens": [at], "name": [name], "width": [width]})
 
-    docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    docs = text_rows(docs)
     n = min(partitions_for(spark, rows := docs.count(), per_part), max(1, rows // 200 + 1))
     ordered = docs.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text") if rows else docs
     parts = sorted(ordered.mapInArrow(run, "part long, docs long, tokens long, name string, width long").collect())
