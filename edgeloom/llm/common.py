@@ -106,10 +106,19 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def text_rows(docs: DataFrame, *more) -> DataFrame:
+    """doc_id, text and more columns, to go to Python in Arrow batches of a few MB: texts are long rows, and a batch is
+    held several times over on either side."""
+    conf = docs.sparkSession.conf
+    conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
+    conf.set("spark.sql.parquet.columnarReaderBatchSize", "512")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), *more)
+
+
 def packed(docs: DataFrame) -> DataFrame:
     """doc_id and text, and all columns as `row`: no column's name can clash. select("row.*") unpacks."""
-    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), row)
+    return text_rows(docs, F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
 
 
 def id_bucket(of: int):

@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column, global_sorted, join_groups, partitions_for, stored, texts_of
+from .common import column, join_groups, partitions_for, stored, text_rows, texts_of
 
 BLOCK = 8192
 
@@ -117,7 +117,7 @@ def named(blocks: DataFrame, rows: int, what: str) -> DataFrame:
 
 def identities(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     """doc_id, text_sha256, levels and name of each row; (levels, name) is equal exactly for equal texts."""
-    docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    docs = text_rows(docs)
     rows = docs.count()
     names = stored(named(docs.mapInArrow(_cut(block), _ddl(_CUT)), rows, "blocks"), "names")
     facts = names.where("pos = 0").select("row", "doc_id", "blocks", "text_sha256", "name")

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_slices, column, has_letter, texts_of
+from .common import byte_slices, column, has_letter, text_rows, texts_of
 
 ORDER = 3
 PER_LANGUAGE = 600
@@ -67,7 +67,7 @@ def _count(batches):
 
 def learn(labelled: DataFrame, per_language: int = PER_LANGUAGE) -> dict:
     """Frozen counts from rows (doc_id, text, lang)."""
-    labelled = labelled.where("lang is not null")
+    labelled = text_rows(labelled.where("lang is not null"), F.col("lang").cast("string"))
     sizes = {r.lang: r["count"] for r in labelled.groupBy("lang").count().collect()}
     share = F.lit(0)
     for lang, n in sizes.items():
@@ -171,4 +171,4 @@ def identify(docs: DataFrame, model: dict) -> DataFrame:
                 scores[at] = np.where(known[at], 1 / np.exp(log - top[:, None]).sum(1), 0)
             yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), pa.array(langs.tolist(), pa.string()), pa.array(scores)], schema=schema)
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, lang_pred string, score double")
+    return text_rows(docs).mapInArrow(run, "doc_id long, lang_pred string, score double")

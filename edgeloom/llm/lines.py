@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import block_pairs, forest, shared_buckets
-from .common import column, join_groups, keep_keys, stored, texts_of
+from .common import column, join_groups, keep_keys, stored, text_rows, texts_of
 from .graph import components
 
 MAX_EDITS = 2
@@ -126,34 +126,45 @@ def occurrences(docs: DataFrame) -> DataFrame:
             doc, line, ids = zip(*rows, strict=True) if rows else ((), (), ())
             yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(line, pa.int32()), pa.array(ids, pa.int64())], ["doc_id", "line", "id"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, line int, id long")
+    return text_rows(docs).mapInArrow(run, "doc_id long, line int, id long")
 
 
-def _distinct(batch: pa.RecordBatch) -> dict[int, bytes]:
-    return {name(s): s for t in texts_of(batch) for _, s in lines_of(t)}
+#: Names of lines that a task remembers, so as to send a repeated line once.
+SEEN = 200_000
+
+
+def _distinct(batch: pa.RecordBatch, seen: set[int]) -> dict[int, bytes]:
+    """Lines of a batch by name, but for those that this task has seen."""
+    found = {name(s): s for t in texts_of(batch) for _, s in lines_of(t)}
+    new = {k: s for k, s in found.items() if k not in seen}
+    if len(seen) > SEEN:
+        seen.clear()
+    seen.update(new)
+    return new
 
 
 def contents(docs: DataFrame) -> DataFrame:
-    """id and content of the lines, once a batch at least."""
+    """id and content of the lines, each at least once."""
 
     def run(batches):
+        seen: set[int] = set()
         for batch in batches:
-            found = list(_distinct(batch).items())
+            found = list(_distinct(batch, seen).items())
             for i in range(0, len(found), 20_000):
                 ids, lines = zip(*found[i : i + 20_000], strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(lines, pa.binary())], ["id", "content"])
 
-    return docs.select(F.col("text").cast("string")).mapInArrow(run, "id long, content binary")
+    return text_rows(docs).select("text").mapInArrow(run, "id long, content binary")
 
 
 def keys(docs: DataFrame) -> DataFrame:
     """bucket, id and whether the key is a segment, for the keys of all lines."""
 
     def run(batches):
-        digest = xxhash.xxh3_64_intdigest
+        digest, seen = xxhash.xxh3_64_intdigest, set()
         for batch in batches:
             buckets, ids, index = [], [], []
-            for line_id, raw in _distinct(batch).items():
+            for line_id, raw in _distinct(batch, seen).items():
                 line = raw.decode("utf-8", "replace")
                 plan = keys_plan(len(line))
                 if line.isascii():
@@ -167,7 +178,7 @@ def keys(docs: DataFrame) -> DataFrame:
             for i in range(0, len(own), 100_000):
                 yield pa.RecordBatch.from_arrays([pa.array(x[i : i + 100_000], t) for x, t in ((bucket, pa.int64()), (own, pa.int64()), (index, pa.bool_()))], ["bucket", "id", "index"])
 
-    return docs.select(F.col("text").cast("string")).mapInArrow(run, "bucket long, id long, index boolean")
+    return text_rows(docs).select("text").mapInArrow(run, "bucket long, id long, index boolean")
 
 
 def _similar(payload):

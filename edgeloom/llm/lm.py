@@ -24,12 +24,14 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import column, stored, texts_of, word_hashes, words_of
+from .common import column, stored, text_rows, texts_of, word_hashes, words_of
 
 FREQUENT = 20_000
 ARCS = 1_000_000
 DISCOUNT = 0.5
-UNIT_BYTES = 32 << 20
+#: Bigrams that a task counts at once.
+PENDING = 3_000_000
+UNIT_BYTES = 20 << 20
 #: No word contains a line feed, so this is the end token's.
 END = np.uint64(xxhash.xxh3_64_intdigest(b"\n"))
 
@@ -83,14 +85,22 @@ def previous(ids: np.ndarray, offsets: np.ndarray, start: int) -> np.ndarray:
 def _bigrams(words: np.ndarray):
     start = int(ids_of(np.array([END]), words)[0])
 
+    def counted(found: list[np.ndarray]) -> pa.RecordBatch:
+        keys, n = np.unique(np.concatenate(found) if found else np.empty(0, np.int64), return_counts=True)
+        return pa.RecordBatch.from_pydict({"key": pa.array(keys, pa.int64()), "n": pa.array(n, pa.int64())})
+
     def run(batches):
+        found: list[np.ndarray] = []
         for batch in batches:
             h, offsets = token_hashes(texts_of(batch))
             ids = ids_of(h, words)
             before = previous(ids, offsets, start) if len(ids) else ids
             ok = (ids >= 0) & (before >= 0)
-            keys, n = np.unique(before[ok] * len(words) + ids[ok], return_counts=True)
-            yield pa.RecordBatch.from_pydict({"key": pa.array(keys, pa.int64()), "n": pa.array(n, pa.int64())})
+            found.append(before[ok] * len(words) + ids[ok])
+            if sum(map(len, found)) > PENDING:
+                yield counted(found)
+                found = []
+        yield counted(found)
 
     return run
 
@@ -126,7 +136,7 @@ _OUT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens
 def score(docs: DataFrame, held_out: Column) -> DataFrame:
     """Scores of all rows (doc_id, text) under the model of those that aren't held out."""
     spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.coalesce(held_out, F.lit(False)).alias("held_out"))
+    docs = text_rows(docs, F.coalesce(held_out, F.lit(False)).alias("held_out"))
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     dealt = docs.withColumn("unit", F.pmod(F.xxhash64("doc_id", "text"), F.lit(max(1, -(-size // UNIT_BYTES)))))
 

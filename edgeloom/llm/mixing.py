@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import byte_slices, column, packed, stored, sums, texts_of
+from .common import byte_slices, column, packed, stored, sums, text_rows, texts_of
 
 PER_DOMAIN = 400
 GRID = 64
@@ -35,7 +35,7 @@ def _pairs(data: np.ndarray) -> np.ndarray:
 
 def learn(labelled: DataFrame, domain: str, per_domain: int = PER_DOMAIN) -> dict:
     """Log probabilities of byte pairs by domain, the prior and the scale of the logits."""
-    labelled = labelled.where(F.col(domain).isNotNull()).select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.col(domain).cast("string").alias("domain"))
+    labelled = text_rows(labelled.where(F.col(domain).isNotNull()), F.col(domain).cast("string").alias("domain"))
     sizes = {r["domain"]: r["count"] for r in labelled.groupBy("domain").count().collect()}
     names = sorted(sizes)
     share = F.lit(0)
@@ -45,12 +45,13 @@ def learn(labelled: DataFrame, domain: str, per_domain: int = PER_DOMAIN) -> dic
     number = {x: i for i, x in enumerate(names)}
 
     def count(batches):
+        total = np.zeros((len(names), 65536), np.int64)
         for batch in batches:
             who = [number[x] for x in column(batch, "domain").to_pylist()]
-            total = np.zeros((len(names), 65536), np.int64)
             for w, t in zip(who, texts_of(batch), strict=True):
                 if t and len(t) > 1:
                     total[w] += np.bincount(_pairs(np.frombuffer(t, np.uint8)), minlength=65536)
+        if total.any():
             d, p = np.nonzero(total)
             yield pa.RecordBatch.from_pydict({"d": pa.array(d, pa.int64()), "p": pa.array(p, pa.int64()), "n": pa.array(total[d, p])})
 

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import block_pairs, forest, shared_buckets
-from .common import column, join_groups, keep_keys, packed, shingle_set, stored, texts_of
+from .common import column, join_groups, keep_keys, packed, shingle_set, stored, text_rows, texts_of
 from .graph import components
 
 HASHES, ROWS = 128, 4
@@ -79,7 +79,7 @@ def sketches(docs: DataFrame, k: int) -> DataFrame:
             cols = list(zip(*rows, strict=True)) or [[]] * 5
             yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), *(pa.array(c, f.type) for c, f in zip(cols, list(schema)[1:], strict=True))], schema=schema)
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, _SKETCH)
+    return text_rows(docs).mapInArrow(run, _SKETCH)
 
 
 def _estimate(floor: float):
@@ -139,7 +139,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100)
     wide = stored(components(near).join(thin, "id"), "candidates")
     sizes = wide.groupBy("root").agg(F.count("*").alias("members"), F.sum("n_shingles").alias("shingles"))
     wide = join_groups(wide, sizes, ["root"], "members", wide.count()).withColumnRenamed("root", "bucket")
-    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    texts = text_rows(docs)
     own = ["id", "bucket", "members", "shingles", "signature"]
     sets = keep_keys(texts, wide.select("doc_id").distinct(), "doc_id").join(wide, "doc_id").select(*own, *name, "text")
 

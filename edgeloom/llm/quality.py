@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import byte_slices, column, packed, texts_of
+from .common import byte_slices, column, packed, text_rows, texts_of
 
 SAMPLE = 20_000
 BINS = 32
@@ -173,7 +173,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict:
             yield pa.RecordBatch.from_arrays([column(batch, "y"), *(pa.array(c) for c in x.T.copy())], ["y", *FEATURES])
 
     # At most `sample` labels are expected here, whatever the size of the corpus.
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(F.broadcast(labels), "doc_id").select("y", "text")
+    rows = text_rows(docs).join(F.broadcast(labels), "doc_id").select("y", "text")
     table = rows.mapInArrow(run, names).toArrow()
     x = np.stack([table[c].to_numpy() for c in FEATURES], 1)
     y = table["y"].to_numpy()
@@ -184,7 +184,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict:
 def scored(docs: DataFrame, model: dict, *keep: str) -> DataFrame:
     """The columns `keep` (other than `text` and `score`) and the score of each row."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    own = docs.select(*keep, "text")
+    own = (text_rows(docs) if keep == ("doc_id",) else docs).select(*keep, "text")
     schema = T.StructType([*own.schema[: len(keep)], T.StructField("score", T.DoubleType())])
 
     def run(batches):
