@@ -394,9 +394,9 @@ def reachability_no_path(spark, sf_dir):
     return spark.createDataFrame([(d["code"], d["message"]) for d in got.diagnostics], "code string, message string")
 
 
-@query(f"""select cast(total as int) as total, total > 50 as truncated, cast(least(total, 50) as int) as returned, (total - 50) || ' more relations beyond limit' as message from (select count(*) as total from ({_FK}) e where kind = 'call' and target = 'n3') t""")
+@query(f"""select cast(total as int) as total, total > 50 as truncated, cast(least(total, 50) as int) as returned, (total - 50) || ' more relations beyond limit' as message from (select count(*) as total from ({_FK}) e where kind = 'call' and target = 's3') t""")
 def limit_truncated_total(spark, sf_dir):
-    got = engine.answer(_fk(spark, sf_dir), Query("callers", "n3", relation="call"))
+    got = engine.answer(_fk(spark, sf_dir), Query("callers", "s3", relation="call"))
     return spark.createDataFrame([(got.total, got.truncated, len(got.paths), got.diagnostics[-1]["message"])], "total int, truncated boolean, returned int, message string")
 
 
