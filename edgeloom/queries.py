@@ -187,10 +187,11 @@ def is_test_path(spark, sf_dir):
     return _files(spark, sf_dir).select("path", names.is_test_path(F.col("path")).alias("is_test"))
 
 
-@query(f"select unnest(list_distinct([lower(path), regexp_extract(lower(path), '[^/]*$')])) as key, count(*) as n from ({_FILES}) f where path not like '%/%/%' and path like '%/%' group by 1")
+@query(f"""with p as (select string_split(lower(path), '/') as parts from ({_FILES}) f)
+    select unnest(list_distinct(list_transform(range(1, len(parts) + 1), lambda i: array_to_string(parts[i:], '/')))) as key, count(*) as n from p group by 1""")
 def symbol_keys(spark, sf_dir):
-    files = _files(spark, sf_dir).where("path like '%/%' and path not like '%/%/%'")
-    return files.select(F.explode(names.symbol_keys(F.col("path"), False)).alias("key")).groupBy("key").agg(F.count("*").alias("n"))
+    keys = _files(spark, sf_dir).select(F.explode(names.symbol_keys(F.col("path"), False)).alias("key"))
+    return keys.groupBy("key").agg(F.count("*").alias("n"))
 
 
 @query(f"select kind, count(*) as n from ({_FK}) e where kind in ('call', 'definition') group by kind")
@@ -253,7 +254,7 @@ def import_package(spark, sf_dir):
     return resolve.resolve_imports(asked, _with_documents(spark, sf_dir, _TARGETS), packages, "doc_id")
 
 
-_MEMBERS = "select 'f' || cast(l_suppkey % 3 as varchar(9)) as file, 'T' || cast(l_suppkey % 11 as varchar(9)) as type, 'm' || cast(l_partkey % 13 as varchar(9)) as method from lineitem where l_orderkey % 7 = 0"
+_MEMBERS = "select 'f' || cast(l_partkey % 3 as varchar(9)) as file, 'T' || cast(l_partkey as varchar(20)) as type, 'm' || cast(l_suppkey % 40 as varchar(9)) as method from lineitem"
 _WANTED = "select 'f' || cast(n_nationkey % 3 as varchar(9)) as file, 'I' || cast(n_nationkey % 5 as varchar(9)) as iface, 'm' || cast(n_nationkey % 13 as varchar(9)) as method from nation"
 
 
@@ -423,22 +424,21 @@ def diagnostics_rollup(spark, sf_dir):
     return files.select(code.alias("code")).where("code is not null").groupBy("code").agg(F.count("*").alias("n"))
 
 
-_STATE = "select 'u' || cast(user_id as varchar(20)) as path, count(*) as size, cast(max(event_id) as double) as mtime_ms from {events} where event_id % {keep} <> 0 and user_id % {gone} <> 1 group by user_id"
+#: Two listings: the events of a user on a day are a file, and time has moved on between them.
+_STATE = "select 'u' || cast(user_id as varchar(20)) || '/' || cast(cast(ts as date) as varchar(20)) as path, count(*) as size, cast(max(event_id) as double) as mtime_ms from {events} "
+_BEFORE = _STATE + "where event_id < (select max(event_id) * 0.8 from {events}) group by user_id, cast(ts as date)"
+_NOW = _STATE + "where event_id > (select max(event_id) * 0.2 from {events}) group by user_id, cast(ts as date)"
 
 
-def _state(keep: int, gone: int) -> str:
-    return _STATE.replace("{keep}", str(keep)).replace("{gone}", str(gone))
-
-
-@query(f"""with a as ({derive.for_views(_state(7, 11))}), b as ({derive.for_views(_state(5, 13))}) select coalesce(a.path, b.path) as path, case when a.path is null then 'deleted' else 'changed' end as change
+@query(f"""with a as ({derive.for_views(_NOW)}), b as ({derive.for_views(_BEFORE)}) select coalesce(a.path, b.path) as path, case when a.path is null then 'deleted' else 'changed' end as change
     from a full join b on a.path = b.path where a.path is null or b.path is null or a.size <> b.size or a.mtime_ms <> b.mtime_ms""")
 def fingerprint_diff(spark, sf_dir):
-    return fingerprint_changes(derive.graph(spark, sf_dir, _state(7, 11)), derive.graph(spark, sf_dir, _state(5, 13)))
+    return fingerprint_changes(derive.graph(spark, sf_dir, _NOW), derive.graph(spark, sf_dir, _BEFORE))
 
 
-@query(derive.for_views(_state(7, 11)))
+@query(derive.for_views(_NOW))
 def incremental_merge(spark, sf_dir):
-    now, before = derive.graph(spark, sf_dir, _state(7, 11)), derive.graph(spark, sf_dir, _state(5, 13))
+    now, before = derive.graph(spark, sf_dir, _NOW), derive.graph(spark, sf_dir, _BEFORE)
     changes = fingerprint_changes(now, before)
     return merged(before, now.join(changes.where("change = 'changed'").select("path"), "path", "left_semi"), changes, "path")
 
