@@ -22,22 +22,28 @@ def clamp_depth(requested: int) -> int:
     return min(max(1, requested), DEPTH_CAP)
 
 
-def edge_key(*prefix: str):
-    return F.concat_ws("|", *(prefix or ("source", "target", "line")))
-
-
 def _calls(edges: DataFrame) -> DataFrame:
     calls = edges.where("kind = 'call'").select(*EDGE_COLUMNS)
-    return calls.withColumn("caller", caller_symbol(F.col("source"))).withColumn("edge_key", edge_key())
+    return calls.withColumn("caller", caller_symbol(F.col("source"))).withColumn("edge_key", F.concat_ws("|", "source", "target", "line"))
 
 
 def _by_symbol(calls: DataFrame, dots: bool) -> DataFrame:
     return calls.select("*", F.explode(symbol_keys(F.col("target"), dots)).alias("symbol"))
 
 
-def _hop(by_symbol: DataFrame, level: DataFrame, seen: DataFrame | None) -> DataFrame:
+#: Symbols of a frontier that are broadcast at most; a larger one meets the calls in a shuffle.
+FRONTIER = 100_000
+
+
+def _callers(level: DataFrame) -> int:
+    """How many symbols call, up to one more than FRONTIER."""
+    return level.select("caller").distinct().limit(FRONTIER + 1).count()
+
+
+def _hop(by_symbol: DataFrame, level: DataFrame, symbols: int, seen: DataFrame | None) -> DataFrame:
     """The call edges that call a caller of `level`, each after its first one in rank order; edges with a seen key are out."""
     frontier = level.groupBy(F.col("caller").alias("symbol")).agg(F.min("rank").alias("before"))
+    frontier = F.broadcast(frontier) if symbols <= FRONTIER else frontier
     met = by_symbol.join(frontier, "symbol").groupBy("ord").agg(F.min("before").alias("before"), *(F.first(c).alias(c) for c in [*EDGE_COLUMNS[:-1], "caller", "edge_key"]))
     if seen is not None:
         met = met.join(seen, "edge_key", "left_anti")
@@ -55,9 +61,10 @@ def upstream(edges: DataFrame, symbol: str, depth: int) -> DataFrame:
     levels = [level.withColumn("hop", F.lit(1))]
     seen = level.select("edge_key").distinct()
     for hop in range(2, clamp_depth(depth) + 1):
-        if level.isEmpty():
+        symbols = _callers(level)
+        if not symbols:
             break
-        level = settled(_hop(by_symbol, level, seen))
+        level = settled(_hop(by_symbol, level, symbols, seen))
         levels.append(level.withColumn("hop", F.lit(hop)))
         seen = seen.unionByName(level.select("edge_key").distinct())
     out = levels[0]
@@ -88,9 +95,10 @@ def reach(edges: DataFrame, start: str, goal: str, depth: int) -> DataFrame | No
             chain = {o: len(found) - i for i, o in enumerate(found)}
             steps = F.create_map(*(F.lit(x) for pair in chain.items() for x in pair))
             return calls.where(F.col("ord").isin(list(chain))).select(*EDGE_COLUMNS, F.try_element_at(steps, F.col("ord")).alias("step"))
-        if level.isEmpty():
+        symbols = _callers(level)
+        if not symbols:
             return None
-        level = settled(_hop(by_symbol, level, seen))
+        level = settled(_hop(by_symbol, level, symbols, seen))
         keys = level.select("edge_key").distinct()
         seen = keys if seen is None else seen.unionByName(keys)
     return None
