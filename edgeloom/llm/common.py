@@ -6,6 +6,8 @@ import atexit
 import re
 import tempfile
 import uuid
+from collections.abc import Callable
+from contextvars import ContextVar
 from urllib.parse import unquote, urlparse
 
 import numpy as np
@@ -46,8 +48,28 @@ def _remove(spark: SparkSession, root: str) -> None:
         pass
 
 
+#: Folders made by the steps that are under way, one list for each `only_result`.
+_made: ContextVar[list[str] | None] = ContextVar("made", default=None)
+
+
 def new_folder(spark: SparkSession, what: str) -> str:
-    return f"{scratch(spark)}/{what}-{uuid.uuid4().hex[:8]}"
+    path = f"{scratch(spark)}/{what}-{uuid.uuid4().hex[:8]}"
+    if (made := _made.get()) is not None:
+        made.append(path)
+    return path
+
+
+def only_result(spark: SparkSession, what: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """What `build` returns, stored; the tables that it stored on the way are deleted."""
+    token = _made.set([])
+    try:
+        result, made = build(), _made.get()
+    finally:
+        _made.reset(token)
+    out = stored(result, what)
+    for path in made:
+        _remove(spark, path)
+    return out
 
 
 def local_path(url: str) -> str:

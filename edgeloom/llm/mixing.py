@@ -185,10 +185,10 @@ def rated(docs: DataFrame, labelled: DataFrame, domain: str, weights: dict[str,
     model = learn(labelled, domain)
     names = model["names"]
     docs = docs.withColumn("draw", F.pmod(F.xxhash64("doc_id", "text", F.lit(53)), F.lit(1 << 30)) / float(1 << 30))
-    found = stored(posteriors(docs, model, *keep, "draw"), "posteriors")
+    found = posteriors(docs, model, *keep, "draw")  # computed twice rather than stored: it may hold whole rows
     if not names:
         return names, found.withColumns({"rate": F.lit(1.0), "copies": F.lit(1)}).drop("draw")
-    cells = stored(found.groupBy("cell").agg(F.sum("tokens").cast("double").alias("tokens")), "cells")
+    cells = stored(posteriors(docs, model).groupBy("cell").agg(F.sum("tokens").cast("double").alias("tokens")), "cells")
     now = [x or 0.0 for x in cells.agg(*(F.sum(F.col("tokens") * F.col("cell")[d]) / GRID for d in range(len(names)))).first()]
     shares = [weights.get(x, 0.0) for x in names] if weights else default_weights(now)
     scale = (sum(now) if total is None else total) / (sum(shares) or 1.0)

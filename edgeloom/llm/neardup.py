@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import block_pairs, forest, shared_buckets
-from .common import column, join_groups, keep_keys, packed, shingle_set, stored, text_rows, texts_of
+from .common import column, join_groups, keep_keys, only_result, packed, shingle_set, stored, text_rows, texts_of, within_broadcast
 from .graph import components
 
 HASHES, ROWS = 128, 4
@@ -167,10 +167,15 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100)
 def deduplicated(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """One document of each component: the rows with its smallest doc_id (the first text of a repeated id, in byte
     order). Rows with a null doc_id stay."""
-    ids = near_duplicates(docs, k, num, den).where("kept and doc_id is not null").select("doc_id")
-    rows = packed(docs)
+
+    def gone() -> DataFrame:
+        found = near_duplicates(docs, k, num, den).where("doc_id is not null")
+        return found.groupBy("doc_id").agg(F.max("kept").alias("stays")).where("not stays").select("doc_id")
+
+    ids, rows = only_result(docs.sparkSession, "gone", gone), packed(docs)
+    kept = rows.join(F.broadcast(ids) if within_broadcast(ids) else ids, "doc_id", "left_anti")
     repeated = docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count() > 0
-    kept = rows.join(stored(ids.distinct(), "kept"), "doc_id", "left_semi")
     if repeated:
-        kept = kept.groupBy("doc_id").agg(F.min(F.struct("text", "row")).alias("least")).select("doc_id", "least.text", "least.row")
-    return kept.unionByName(rows.where("doc_id is null")).select("row.*")
+        first = kept.where("doc_id is not null").groupBy("doc_id").agg(F.min(F.struct("text", "row")).alias("least"))
+        kept = first.select("doc_id", "least.text", "least.row").unionByName(kept.where("doc_id is null"))
+    return kept.select("row.*")
