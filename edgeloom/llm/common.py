@@ -82,8 +82,10 @@ def local_path(url: str) -> str:
 
 def stored(df: DataFrame, what: str) -> DataFrame:
     """df written to the scratch folder and read again: cuts the lineage and survives the loss of executors."""
-    path = new_folder(df.sparkSession, what)
-    df.write.parquet(path)
+    path, writer = new_folder(df.sparkSession, what), df.write
+    if path.startswith("file:"):  # no checksum file beside each file, each of which starts a process to set its mode
+        writer = writer.option("fs.file.impl", "org.apache.hadoop.fs.RawLocalFileSystem").option("fs.file.impl.disable.cache", "true")
+    writer.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -133,8 +135,8 @@ def text_rows(docs: DataFrame, *more) -> DataFrame:
     held several times over on either side."""
     conf = docs.sparkSession.conf
     conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
-    conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
-    conf.set("spark.sql.parquet.columnarReaderBatchSize", "512")
+    conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "4m")
+    conf.set("spark.sql.parquet.columnarReaderBatchSize", "128")
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), *more)
 
 
@@ -151,7 +153,7 @@ def id_bucket(of: int):
 class WordHashes(dict):
     """64-bit hashes of words, kept up to a bound for speed; a miss is computed."""
 
-    LIMIT = 400_000
+    LIMIT = 150_000
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.LIMIT:
