@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
+from urllib.parse import urlparse
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,7 +14,9 @@ from .model import EXCLUDED_DIRECTORIES, EXTENSION_LANGUAGE, SCANNED_EXTENSIONS,
 from .operators import present, resolve, target, walk
 from .plans import derive, engine
 from .plans.index import fingerprint_changes, merged
+from .plans.settle import shared_folder
 from .sources import files as scans
+from .sources.snapshot import SnapshotStore
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -448,6 +452,15 @@ def edges_by_file(spark, sf_dir):
     return _methods(spark, sf_dir).groupBy("file").agg(F.count("*").alias("edges"), F.min("ord").alias("first_ord"), F.max("ord").alias("last_ord"))
 
 
+@query(f"select kind, source, target, confidence, file, line, col, ord, 1 as version from ({_METHODS}) m")
+def snapshot_roundtrip(spark, sf_dir):
+    folder = urlparse(shared_folder(spark)).path + f"/snapshot-{uuid.uuid4().hex[:8]}"
+    store = SnapshotStore(spark, folder, folder)
+    store.save({"edges": _methods(spark, sf_dir)}, {"shape": "x"})
+    meta, tables = store.load()
+    return tables["edges"].withColumn("version", F.lit(meta["version"]))
+
+
 @query()
 def extract_python(spark, sf_dir):
     """Relations of small Python sources made from documents (a table function; tested in Python)."""
