@@ -21,7 +21,7 @@ from ..operators import walk
 from ..operators.present import clamp_limit, edge_dict, scope_prefix
 from .index import ProjectIndex
 
-CONFIG = ".dsh/codegraph/config.json"
+CONFIG = ".edgeloom/config.json"
 
 
 def project_config(root: str) -> dict:

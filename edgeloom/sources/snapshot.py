@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..model import SNAPSHOT_VERSION
 
-FOLDER = ".dsh/codegraph"
+FOLDER = ".edgeloom"
 
 
 class SnapshotStore:

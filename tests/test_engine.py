@@ -152,7 +152,7 @@ def test_index_life_cycle(spark, tmp_path):
     fresh.index.rebuild()
     want = sorted(map(tuple, fresh.index.edges.drop("child").collect()))
     assert sorted(map(tuple, again.index.edges.drop("child").collect())) == want
-    with open(os.path.join(root, ".dsh/codegraph/snapshot.json"), "r+") as f:
+    with open(os.path.join(root, ".edgeloom/snapshot.json"), "r+") as f:
         meta = json.load(f)
         f.seek(0)
         json.dump({**meta, "version": 999}, f)
