@@ -87,13 +87,12 @@ def _ranked(batches):
         yield _batch([none, none, none, none, none, [part] * len(tail), [r for r, _ in tail], [last_h] * len(tail), [b for _, b in tail]], _OWN + _RANK)
 
 
-def named(blocks: DataFrame, rows: int, what: str) -> DataFrame:
+def named(blocks: DataFrame, partitions: int, what: str) -> DataFrame:
     """The rows with an integer `name` in place of `block`: equal blocks get equal names, different ones different
     names, whatever their hashes."""
     spark = blocks.sparkSession
-    n = min(partitions_for(spark, rows, 200_000), max(1, rows // 1000 + 1))
     ordered = blocks.select(*(name for name, _, _ in _OWN), F.xxhash64("block").alias("h"), "block")
-    ordered = ordered.repartitionByRange(n, "h", "row", "pos").sortWithinPartitions("h", "block")
+    ordered = ordered.repartitionByRange(partitions, "h", "row", "pos").sortWithinPartitions("h", "block")
     ranked = stored(ordered.mapInArrow(_ranked, _ddl(_OWN + _RANK)), what)
 
     sizes = sorted(ranked.groupBy("part").agg(F.max("rank")).collect())
@@ -119,7 +118,7 @@ def identities(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     """doc_id, text_sha256, levels and name of each row; (levels, name) is equal exactly for equal texts."""
     docs = text_rows(docs)
     rows = docs.count()
-    names = stored(named(docs.mapInArrow(_cut(block), _ddl(_CUT)), rows, "blocks"), "names")
+    names = named(docs.mapInArrow(_cut(block), _ddl(_CUT)), min(partitions_for(docs.sparkSession, rows, 50_000), rows // 1000 + 1), "blocks")
     facts = names.where("pos = 0").select("row", "doc_id", "blocks", "text_sha256", "name")
     done = facts.where("blocks = 1").select("doc_id", "text_sha256", F.lit(0).alias("levels"), "name")
     facts, level = facts.drop("name"), 0
@@ -130,7 +129,7 @@ def identities(docs: DataFrame, block: int = BLOCK) -> DataFrame:
         pairs = open_.groupBy("row", F.shiftright("pos", 1).alias("pos"), F.ceil(F.col("blocks") / 2).cast("int").alias("blocks")).agg(side(0).alias("a"), side(1).alias("b"))
         pairs = pairs.withColumn("block", F.concat_ws(":", "a", F.coalesce(F.col("b").cast("string"), F.lit("-"))).cast("binary"))
         pairs = pairs.select("row", F.lit(None).cast("long").alias("doc_id"), "pos", "blocks", F.lit(None).cast("string").alias("text_sha256"), "block")
-        names = stored(named(pairs, left, f"pairs-{level}"), f"names-{level}")
+        names = named(pairs, left // 200_000 + 1, f"pairs-{level}")  # pairs are a few bytes
         ends = names.where("blocks = 1").select("row", "name").join(facts.drop("blocks"), "row")
         done = done.unionByName(ends.select("doc_id", "text_sha256", F.lit(level).alias("levels"), "name"))
         open_ = names.where("blocks > 1")
