@@ -1,16 +1,17 @@
 """Language-model scoring with a weighted backoff automaton.
 
 The unigram base counts every token of all training documents: P(w) = (c + 0.5) / (N + 0.5 (V + 1)), unknown words
-sharing one place. Words with at least N / FREQUENT occurrences (so FREQUENT of them at most) are states; the end of a
-text is one of them and also the state in which a text starts; all other words lead to the root. A bigram of two such
-words with at least two occurrences, and at least 1 / ARCS of all of them, is an arc: its weight is
+sharing one place. Every word of a training document is a state; the end of a text is one of them and also the state in
+which a text starts; unknown words lead to the root. Each bigram with at least LEAST occurrences is an arc: its weight is
 (c(hw) - 0.5) / c(h) + l(h) P(w). A state's failure arc to the root has the weight l(h), the mass that its arcs leave, and
 the root has an arc for each word with the weight P(w). So each state is a distribution over words. One pass from left
 to right carries the state and adds log10 of the arc, or of the failure arc and the root's arc.
 
-Counts are exact and distributed. Documents are dealt to units of about UNIT_BYTES; each unit sends its distinct words
-once, gets back their counts, and scores its texts in the same grouping. Words are 64-bit hashes (a vocabulary of a
-million has a collision with probability 3e-8). The automaton is bounded by FREQUENT and ARCS and is broadcast.
+Counts are exact and distributed, and the automaton is too: it grows with the corpus and is never in one place. Documents
+are dealt to units of about UNIT_BYTES; each unit sends its distinct words and bigrams once, gets back their counts, of
+its words the mass that all their arcs leave, and of its bigrams those that are arcs, and scores its texts in the same
+grouping. Words and bigrams are 64-bit hashes (a vocabulary of a million has a collision with probability 3e-8, 10^9
+different bigrams with 3 %).
 
 A null text is empty and has the end token only. Repeated rows are documents of their own. Without training documents
 N and V are 0 and each token has P = 1. An empty table gives no rows. Other columns are ignored.
@@ -18,20 +19,24 @@ N and V are 0 and each token has P = 1. An empty table gives no rows. Other colu
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import column, stored, text_rows, texts_of, word_hashes, words_of
+from .common import column, mixed, stored, text_rows, texts_of, word_hashes, words_of
 
-FREQUENT = 20_000
-ARCS = 1_000_000
+#: A state may be asked to have 1 / FREQUENT of all tokens, and an arc 1 / ARCS of all bigrams of states: not by default.
+FREQUENT = ARCS = math.inf
+LEAST = 2
 DISCOUNT = 0.5
-#: Bigrams that a task counts at once.
-PENDING = 3_000_000
-UNIT_BYTES = 20 << 20
+UNIT_BYTES = 12 << 20
+#: Occurrences of a state whose bigrams meet in one bucket.
+HOT = 200_000
 #: No word contains a line feed, so this is the end token's.
 END = np.uint64(xxhash.xxh3_64_intdigest(b"\n"))
 
@@ -82,48 +87,108 @@ def previous(ids: np.ndarray, offsets: np.ndarray, start: int) -> np.ndarray:
     return out
 
 
-def _bigrams(words: np.ndarray):
-    start = int(ids_of(np.array([END]), words)[0])
+def _blob(x: np.ndarray) -> bytes:
+    return x.astype("<i8", copy=False).tobytes()
+
+
+def _numbers(blobs: pa.ChunkedArray) -> np.ndarray:
+    return np.frombuffer(b"".join(blobs.to_pylist()), "<i8")
+
+
+_PAIRS = "unit long, bucket int, seen long, h binary, w binary, c binary"
+_ARCS = "unit long, state long, taken double, h binary, w binary, c binary"
 
-    def counted(found: list[np.ndarray]) -> pa.RecordBatch:
-        keys, n = np.unique(np.concatenate(found) if found else np.empty(0, np.int64), return_counts=True)
-        return pa.RecordBatch.from_pydict({"key": pa.array(keys, pa.int64()), "n": pa.array(n, pa.int64())})
 
-    def run(batches):
-        found: list[np.ndarray] = []
-        for batch in batches:
-            h, offsets = token_hashes(texts_of(batch))
+def _pair_unit(buckets: int):
+    """The distinct bigrams of a unit's `known` words with their training counts, as arrays for each bucket. The bigrams
+    of a state share a bucket, or one for each HOT occurrences of it, so that its hashes pack well."""
+
+    def run(texts: pa.Table, known: pa.Table) -> pa.Table:
+        words, c = known["h"].to_numpy().view(np.uint64), known["c"].to_numpy()
+        order = np.argsort(words)
+        words, parts = words[order], (-(-c[order] // HOT)).astype(np.uint64)
+        start, kept, trains = int(ids_of(np.array([END]), words)[0]), [], []
+        for batch, some in _texts(texts):
+            h, offsets = token_hashes(some)
             ids = ids_of(h, words)
-            before = previous(ids, offsets, start) if len(ids) else ids
+            before = previous(ids, offsets, start)
             ok = (ids >= 0) & (before >= 0)
-            found.append(before[ok] * len(words) + ids[ok])
-            if sum(map(len, found)) > PENDING:
-                yield counted(found)
-                found = []
-        yield counted(found)
+            kept.append((before * len(words) + ids)[ok])
+            trains.append(~np.repeat(np.array(column(batch, "held_out").to_pylist(), bool), np.diff(offsets))[ok])
+        keys = np.concatenate(kept)
+        every, (seen, n) = np.unique(keys), np.unique(keys[np.concatenate(trains)], return_counts=True)
+        counts = np.zeros(len(every), np.int64)
+        counts[np.searchsorted(every, seen)] = n
+        frm, to = np.divmod(every, max(len(words), 1))
+        h, w = words[frm], words[to]
+        bucket = (mixed(mixed(h) + mixed(w) % parts[frm]) % np.uint64(buckets)).astype(np.int32)
+        order = np.argsort(bucket, kind="stable")  # h ascends within a bucket
+        h, w, counts, bucket = h[order].view(np.int64), w[order].view(np.int64), counts[order], bucket[order]
+        first = np.flatnonzero(np.diff(bucket, prepend=-1))
+        cuts = list(zip(first.tolist(), [*first[1:].tolist(), len(bucket)], strict=True)) if len(first) else []
+        return pa.table({
+            "unit": pa.array(np.full(len(cuts), texts["unit"][0].as_py() if cuts else 0), pa.int64()), "bucket": pa.array(bucket[first]),
+            "seen": pa.array([int(counts[a:b].sum()) for a, b in cuts], pa.int64()),
+            **{name: pa.array([_blob(x[a:b]) for a, b in cuts], pa.binary()) for name, x in (("h", h), ("w", w), ("c", counts))},
+        })
 
     return run
 
 
-class Automaton:
-    """States with arcs, failure arcs and the root's arcs."""
+def pair_names(h: np.ndarray, w: np.ndarray) -> np.ndarray:
+    return mixed(mixed(h) + w)
+
+
+def _arcs(floor: float):
+    """The arcs of a bucket for each unit that holds them, and what they take of the mass of their states."""
+
+    def run(table: pa.Table) -> pa.Table:
+        h, w, c = (_numbers(table[x]) for x in ("h", "w", "c"))
+        row = np.repeat(np.arange(len(table)), [len(x) // 8 for x in table["h"].to_pylist()])
+        name = pair_names(h.view(np.uint64), w.view(np.uint64))
+        order = np.argsort(name)
+        name = name[order]
+        first = np.flatnonzero(np.concatenate([[True], name[1:] != name[:-1]]))
+        n = np.add.reduceat(c[order], first)
+        one = order[first][n >= floor]  # a place of each arc
+        states, at = np.unique(h[one], return_inverse=True)
+        taken = np.bincount(at, n[n >= floor] - DISCOUNT, len(states))
+        total = np.empty_like(c)
+        total[order] = np.repeat(n, np.diff(np.append(first, len(name))))
+        hit = np.flatnonzero(total >= floor)
+        first = np.flatnonzero(np.diff(row[hit], prepend=-1))
+        cuts = list(zip(first.tolist(), [*first[1:].tolist(), len(hit)], strict=True)) if len(first) else []
+        blobs = {k: [_blob(x[hit[a:b]]) for a, b in cuts] for k, x in (("h", h), ("w", w), ("c", total))}
+        unit, none = table["unit"].to_numpy()[row[hit[first]]].tolist(), [None] * len(states)
+        return pa.table({
+            "unit": pa.array(none + unit, pa.int64()), "state": pa.array(states.tolist() + [None] * len(cuts), pa.int64()),
+            "taken": pa.array(taken.tolist() + [None] * len(cuts), pa.float64()), **{k: pa.array(none + x, pa.binary()) for k, x in blobs.items()},
+        })
+
+    return run
+
 
-    def __init__(self, words: np.ndarray, counts: np.ndarray, keys: np.ndarray, pairs: np.ndarray, total: int, distinct: int):
+class Automaton:
+    """What a unit needs of it: its words with their counts and what the arcs of each leave, and its arcs (places of two
+    words, and count). Words with fewer than `least` occurrences aren't states."""
+
+    def __init__(self, words: np.ndarray, counts: np.ndarray, left: np.ndarray, arcs: tuple[np.ndarray, np.ndarray, np.ndarray], total: int, distinct: int, least: float):
+        self.words, unit = words, total + 0.5 * (distinct + 1)
+        self.root = np.log10((counts + 0.5) / unit)
+        self.states = np.where(counts >= least, np.arange(len(words)), -1)
+        self.start = int(self.states[ids_of(np.array([END]), words)[0]])
+        self.failure = np.log10(np.maximum(left, 1e-12))
+        frm, to, n = arcs
+        keys = frm * len(words) + to
         order = np.argsort(keys)
-        self.words, self.keys = words, keys[order]
-        self.total, self.unit = total, total + 0.5 * (distinct + 1)
-        self.start = int(ids_of(np.array([END]), words)[0])
-        frm, to = np.divmod(self.keys, max(len(words), 1))
-        share = (pairs[order] - DISCOUNT) / np.maximum(counts[frm], 1) if len(keys) else np.empty(0)
-        mass = 1 - np.bincount(frm, share, len(words)) if len(keys) else np.ones(len(words))
-        self.failure = np.log10(np.maximum(mass, 1e-12))
-        self.arcs = np.log10(share + mass[frm] * (counts[to] + 0.5) / self.unit) if len(keys) else np.empty(0)
-
-    def score(self, ids: np.ndarray, root: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        """log10 of each token from the state that the tokens before it lead to; root: log10 of the root's arcs."""
-        state = previous(ids, offsets, self.start)
-        out = root + np.where(state >= 0, self.failure[state], 0) if len(self.words) else root.copy()
-        both = np.flatnonzero((state >= 0) & (ids >= 0))
+        self.keys = keys[order]
+        self.arcs = np.log10((n - DISCOUNT) / np.maximum(counts[frm], 1) + left[frm] * (counts[to] + 0.5) / unit)[order]
+
+    def score(self, ids: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """log10 of each token from the state that the tokens before it lead to."""
+        state = previous(self.states[ids], offsets, self.start)
+        out = self.root[ids] + np.where(state >= 0, self.failure[state], 0)
+        both = np.flatnonzero(state >= 0)
         at = ids_of(state[both] * len(self.words) + ids[both], self.keys)
         hit = at >= 0
         out[both[hit]] = self.arcs[at[hit]]
@@ -140,40 +205,41 @@ def score(docs: DataFrame, held_out: Column) -> DataFrame:
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     dealt = docs.withColumn("unit", F.pmod(F.xxhash64("doc_id", "text"), F.lit(max(1, -(-size // UNIT_BYTES)))))
 
-    from pyspark.sql import Window
-
     counts = dealt.groupBy("unit").applyInArrow(_count_unit, "unit long, h long, c long")
     every = Window.partitionBy("h")  # a row for each unit at most
     counts = stored(counts.select("unit", "h", F.sum("c").over(every).alias("c"), (F.min("unit").over(every) == F.col("unit")).alias("one")), "word-counts")
     words = counts.where("one and c > 0")
     total, distinct = (int(x or 0) for x in words.agg(F.sum("c"), F.count("*")).first())
-    top = words.where(F.col("c") >= max(1, total / FREQUENT)).select("h", "c").toArrow()  # FREQUENT rows at most
-    h, c = top["h"].to_numpy().view(np.uint64), top["c"].to_numpy()
-    order = np.argsort(h)
-    h, c = h[order], c[order]
-
-    pairs = docs.where("not held_out").select("text").mapInArrow(_bigrams(h), "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
-    pairs = stored(pairs, "bigrams")
-    seen = pairs.agg(F.sum("n")).first()[0] or 0
-    arcs = pairs.where(F.col("n") >= max(2, seen / ARCS)).toArrow()  # ARCS rows at most
-    shared = spark.sparkContext.broadcast(Automaton(h, c, arcs["key"].to_numpy(), arcs["n"].to_numpy(), total, distinct))
+    least = max(1, total / FREQUENT)
+
+    # A bigram has an entry for each unit that holds it, so none is hot. An arc's words have as many occurrences as itself.
+    units, often = counts.select("unit", "h", "c"), F.col("c") >= max(least, LEAST)
+    pairs = dealt.groupBy("unit").cogroup(units.where(often).groupBy("unit")).applyInArrow(_pair_unit(max(1, -(-size // UNIT_BYTES))), _PAIRS)
+    floor = LEAST if math.isinf(ARCS) else max(LEAST, (pairs.agg(F.sum("seen")).first()[0] or 0) / ARCS)
+    arcs = stored(pairs.drop("seen").groupBy("bucket").applyInArrow(_arcs(floor), _ARCS), "arcs")
+    taken = arcs.where("unit is null").groupBy(F.col("state").alias("word")).agg(F.sum("taken").alias("taken"))
+    left = (F.col("c") - F.coalesce("taken", F.lit(0.0))) / F.greatest("c", F.lit(1))
+    known = units.withColumnRenamed("h", "word").join(taken, "word", "left").select("unit", "word", F.col("c").alias("n"), left.alias("left"))
+    known = known.unionByName(arcs.where("unit is not null").select("unit", "h", "w", "c"), allowMissingColumns=True)
 
     def run(texts: pa.Table, known: pa.Table) -> pa.Table:
-        auto = shared.value
-        words, c = known["h"].to_numpy().view(np.uint64), known["c"].to_numpy()
+        own, arcs = known.filter(pc.is_valid(known["word"])), known.filter(pc.is_null(known["word"]))
+        words, c = own["word"].to_numpy().view(np.uint64), own["n"].to_numpy()
         order = np.argsort(words)
-        words, c = words[order], c[order]
-        root, frequent = np.log10((c + 0.5) / auto.unit), ids_of(words, auto.words)
+        words, c, left = words[order], c[order], own["left"].to_numpy()[order]
+        h, w, n = (_numbers(arcs[x]) for x in ("h", "w", "c"))
+        ends = (ids_of(x.view(np.uint64), words) for x in (h, w))
+        auto = Automaton(words, c, left, (*ends, n), total, distinct, least)
         out = []
         for batch, some in _texts(texts):
             h, offsets = token_hashes(some)
             at = np.searchsorted(words, h)
-            base, starts = root[at], offsets[:-1]
-            tokens = auto.score(frequent[at], base, offsets)
+            base, starts = auto.root[at], offsets[:-1]
+            tokens = auto.score(at, offsets)
             out.append(pa.RecordBatch.from_arrays([
                 column(batch, "doc_id"), column(batch, "held_out"), pa.array(np.diff(offsets)), pa.array(np.add.reduceat((c[at] > 0).astype(np.int64), starts)),
-                pa.array(np.full(len(some), auto.total), pa.int64()), pa.array(np.add.reduceat(base, starts)), pa.array(np.add.reduceat(tokens, starts)),
+                pa.array(np.full(len(some), total), pa.int64()), pa.array(np.add.reduceat(base, starts)), pa.array(np.add.reduceat(tokens, starts)),
             ], ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]))
         return pa.Table.from_batches(out)
 
-    return dealt.groupBy("unit").cogroup(counts.select("unit", "h", "c").groupBy("unit")).applyInArrow(run, _OUT)
+    return dealt.groupBy("unit").cogroup(known.groupBy("unit")).applyInArrow(run, _OUT)

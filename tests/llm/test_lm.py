@@ -78,3 +78,16 @@ def test_the_query_on_its_table(spark, sf_dir):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
     held = lambda i: zlib.crc32(str(i).encode()) % 5 == 1
     compare(QUERIES["op10_lm_scoring"](spark, sf_dir), brute(rows, held))
+
+
+def test_every_word_is_a_state_and_every_repeated_bigram_an_arc(docs):
+    """Many tokens of one word, beside a rare bigram that occurs twice, of words that occur twice."""
+    rows = [(i, "x " * 3000) for i in range(20)] + [(100, "rare couple"), (101, "rare couple"), (102, "rare couple")]
+    held = lambda i: i == 102
+    got = {r.doc_id: r for r in score(docs(rows), F.col("doc_id") == 102).collect()}
+    n = 20 * 3001 + 2 * 3
+    p = lambda c: (c + 0.5) / (n + 0.5 * 5)
+    start = 1.5 / 22 + (22 - 19.5 - 1.5) / 22 * p(2)  # arcs of the start: x 20 times, rare twice
+    word, end = 1.5 / 2 + 0.25 * p(2), 1.5 / 2 + 0.25 * p(22)
+    assert got[102].score == pytest.approx(sum(map(math.log10, (start, word, end))), rel=1e-9)
+    compare(score(docs(rows), F.col("doc_id") == 102), brute(rows, held))
