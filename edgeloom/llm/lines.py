@@ -206,11 +206,11 @@ def line_links(docs: DataFrame) -> DataFrame:
     return stored(forest(dealt, ["content"], _similar), "line-links")
 
 
-def line_classes(docs: DataFrame) -> DataFrame:
+def line_classes(docs: DataFrame, places: DataFrame | None = None) -> DataFrame:
     """doc_id, line and copies of the first occurrence of each different line, and class_doc_id, class_line of the line
-    that stays for its class."""
+    that stays for its class. places: the occurrences, if they are stored."""
     first = F.min(F.struct("doc_id", "line")).alias("first")
-    each = stored(occurrences(docs).groupBy("id").agg(first, F.count("*").alias("copies")), "lines")
+    each = stored((occurrences(docs) if places is None else places).groupBy("id").agg(first, F.count("*").alias("copies")), "lines")
     linked = stored(components(line_links(docs)).join(each.select("id", "first"), "id"), "line-roots")
     lowest = linked.groupBy("root").agg(F.min("first").alias("stays"), F.count("*").alias("n"))
     linked = join_groups(linked.select("id", "root"), lowest, ["root"], "n", linked.count()).select("id", "stays")
@@ -218,12 +218,19 @@ def line_classes(docs: DataFrame) -> DataFrame:
     return out.select("id", "first.doc_id", "first.line", "copies", F.col("stays.doc_id").alias("class_doc_id"), F.col("stays.line").alias("class_line"))
 
 
-def deduplicated(docs: DataFrame) -> DataFrame:
-    """The rows with only those lines that stay for their class (empty lines stay)."""
-    classes = stored(line_classes(docs), "line-classes").select("id", "copies", "class_doc_id", "class_line")
+def line_members(docs: DataFrame) -> DataFrame:
+    """id, doc_id, line and copies of each occurrence of a line, class_doc_id and class_line of the line that stays for
+    its class, and kept: whether it is that line."""
     where = stored(occurrences(docs), "line-places")
+    classes = stored(line_classes(docs, where), "line-classes").select("id", "copies", "class_doc_id", "class_line")
     found = join_groups(where, classes, ["id"], "copies", where.count())
-    gone = found.where(~(F.col("doc_id").eqNullSafe(F.col("class_doc_id")) & (F.col("line") == F.col("class_line"))))
+    kept = F.col("doc_id").eqNullSafe(F.col("class_doc_id")) & (F.col("line") == F.col("class_line"))
+    return found.select("id", "doc_id", "line", "copies", "class_doc_id", "class_line", kept.alias("kept"))
+
+
+def deduplicated(docs: DataFrame) -> DataFrame:
+    """The rows with only those lines that stay for their class (empty lines stay)."""
+    gone = line_members(docs).where("not kept")
     gone = gone.groupBy("doc_id").agg(F.collect_set("line").alias("_gone")).withColumnRenamed("doc_id", "_id")
     out = docs.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")), "left")
     kept = F.filter(F.transform(F.split("text", "\n"), lambda x, i: F.when(~F.array_contains("_gone", i), x)), lambda x: x.isNotNull())

@@ -70,10 +70,9 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .lines import line_classes
+    from .lines import line_members
 
-    out = line_classes(documents(spark, sf_dir))
-    return out.withColumnRenamed("id", "line_id").withColumn("kept", F.col("doc_id").eqNullSafe(F.col("class_doc_id")) & (F.col("line") == F.col("class_line")))
+    return line_members(documents(spark, sf_dir)).withColumnRenamed("id", "line_id")
 
 
 def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:

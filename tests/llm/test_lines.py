@@ -99,3 +99,16 @@ def test_texts_lose_repeated_lines(docs):
     rows = [(1, "a first line\nthe second line of it\n\nc"), (2, "the second line of it!\nnew one"), (3, None), (4, "new one")]
     out = {r.doc_id: r.text for r in deduplicated(docs(rows)).collect()}
     assert out == {1: "a first line\nthe second line of it\n\nc", 2: "new one", 3: None, 4: ""}
+
+
+def test_the_query_names_every_place_of_a_line(spark, docs, tmp_path):
+    from edgeloom.llm.queries import QUERIES
+
+    rows = [(1, "a first line\n\nthe second line of it"), (2, "the second line of it!"), (3, "a first line\na first line"), (None, "alone"), (5, None)]
+    docs(rows).write.parquet(f"{tmp_path}/documents.parquet")
+    out = QUERIES["op9_line_dedup"](spark, str(tmp_path)).collect()
+    got = {(r.doc_id, r.line): (r.copies, r.class_doc_id, r.class_line, r.kept) for r in out}
+    assert len(out) == 6 and got == {
+        (1, 0): (3, 1, 0, True), (3, 0): (3, 1, 0, False), (3, 1): (3, 1, 0, False),
+        (1, 2): (1, 1, 2, True), (2, 0): (1, 1, 2, False), (None, 0): (1, None, 0, True),
+    }
