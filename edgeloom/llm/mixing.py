@@ -2,10 +2,10 @@
 
 A classifier learnt from labelled rows (naive Bayes over pairs of bytes, its confidence scaled to fit) gives each
 document a posterior over domains, rounded to a grid of 1 / GRID. Nonnegative rates r are fitted so that the expected
-tokens of each domain, sum of r * tokens * posterior, meet the targets: projected gradient descent on the relative
-squared errors, from r = 1. Documents with equal posteriors have equal rates, so the rates live on the cells of the grid
-(a table of tokens by cell); each step is one distributed aggregate of the
-residuals. A document is repeated floor(rate + u) times, u a uniform hash of the row.
+tokens of each domain, sum of r * tokens * posterior, meet the targets: of all such rates those nearest to 1, by Newton
+steps on the dual problem. Targets that no rates meet are missed by the least relative squared errors, with a warning.
+Documents with equal posteriors have equal rates, so the rates live on the cells of the grid (a table of tokens by cell);
+each step is two distributed aggregates. A document is repeated floor(rate + u) times, u a uniform hash of the row.
 
 The classifier is fitted on a bounded sample of labelled rows (PER_DOMAIN expected for each domain), counted on the
 executors. Without labelled rows there are no domains, and every rate is 1.
@@ -16,6 +16,8 @@ different ids are drawn on their own; equal rows (id and text) are drawn alike.
 
 from __future__ import annotations
 
+import warnings
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -26,7 +28,10 @@ from .common import byte_slices, column, packed, stored, sums, text_rows, texts_
 
 PER_DOMAIN = 400
 GRID = 64
-STEPS, TOLERANCE = 100, 1e-4
+#: The search ends by itself after a few steps; STEPS only guards against one that doesn't.
+STEPS, TOLERANCE = 5000, 1e-4
+#: Weight of the vector's square: a target is missed by this share times the vector. And parts of a step that are tried.
+SOFT, SHRINK = 1e-11, (1.0, 0.5, 0.25, 0.1, 0.03, 1e-2, 1e-3, 1e-4, 1e-6)
 
 
 def _pairs(data: np.ndarray) -> np.ndarray:
@@ -139,28 +144,49 @@ def posteriors(docs: DataFrame, model: dict, *keep: str) -> DataFrame:
 
 
 def fit(cells: DataFrame, targets: list[float]) -> tuple[list[list[float]], list[float]]:
-    """Steps of the projected gradient (a vector over domains each) and the domain totals that they lead to.
+    """Steps (a vector over domains each; one is enough) to the rates, and the domain totals that they lead to.
 
-    Minimised is the sum of (total - target)^2 / target. cells: (cell, tokens). A step subtracts from the rate of a cell
-    the product of its posterior and the step's vector (the gradient per token) and cuts at 0; so a rate follows from the
-    steps and need not be stored.
+    cells: (cell, tokens). Minimised is the sum of tokens (rate - 1)^2 / 2, and of (total - target)^2 / target at a price
+    so high that targets that can be met are met. At the minimum the rate of a cell is 1 less the product of its posterior
+    and a vector, cut at 0; the vector comes from Newton steps with a line search on the dual problem, which is convex and
+    quadratic by pieces, so the sizes of the domains don't matter. It ends where no step helps (Karush-Kuhn-Tucker).
     """
-    n, size = len(targets), [max(t, 1.0) for t in targets]
-    weight = [[F.sum(F.col("cell")[d] * F.col("cell")[e] * F.col("tokens")) / (GRID**2 * size[e]) for e in range(n)] for d in range(n)]
-    curve = np.array([x or 0.0 for x in cells.agg(*(x for row in weight for x in row)).first()]).reshape(n, n)
-    rate = 1.0 / max(np.linalg.norm(curve, 2), 1e-12)
-    steps: list[list[float]] = []
-    before = np.inf
-    while True:
-        r = rates(steps)
-        row = cells.agg(*(F.sum(r * F.col("tokens") * F.col("cell")[d]) / GRID for d in range(n))).first()
-        totals = [x or 0.0 for x in row]
-        gaps = [(a - t) / s for a, t, s in zip(totals, targets, size, strict=True)]
-        loss = sum(g * g * s for g, s in zip(gaps, size, strict=True))
-        if max(map(abs, gaps)) < TOLERANCE or loss > before * (1 - 1e-6) or len(steps) == STEPS:
-            return steps, totals
-        before = loss
-        steps.append([rate * g for g in gaps])
+    n, size, target = len(targets), np.maximum(targets, 1.0), np.array(targets, float)
+    share = [F.col("cell")[d] / GRID for d in range(n)]
+
+    def sums_of(columns: list[Column]) -> np.ndarray:
+        return np.array([x or 0.0 for x in cells.agg(*columns).first()])
+
+    def values(vectors: list[np.ndarray]) -> list[tuple[float, np.ndarray, np.ndarray]]:
+        """The dual, its gradient by the targets and the totals at each vector."""
+        columns = []
+        for v in vectors:
+            mass = rates([v.tolist()]) * F.col("tokens")
+            columns += [F.sum(mass * rates([v.tolist()]) / 2), *(F.sum(mass * p) for p in share)]
+        found = sums_of(columns).reshape(len(vectors), n + 1)
+        return [(row[0] + v @ target + SOFT / 2 * size @ v**2, (row[1:] - target) / size - SOFT * v, row[1:]) for v, row in zip(vectors, found, strict=True)]
+
+    vector = np.zeros(n)
+    [(value, gap, totals)] = values([vector])
+    for _ in range(STEPS):
+        if np.abs(gap).max() < 1e-9:
+            break
+        open_ = F.when(rates([vector.tolist()]) > 0, F.col("tokens")).otherwise(0.0)
+        curve = sums_of([F.sum(open_ * p * q) for p in share for q in share]).reshape(n, n)
+        root = np.sqrt(size)
+        step = np.linalg.solve(curve / np.outer(root, root) + SOFT * np.eye(n), gap * root) / root
+        tried = [vector + x * step for x in SHRINK]
+        found = values(tried)
+        worst, now = [np.abs(x[1]).max() for x in found], np.abs(gap).max()
+        best = min(range(len(SHRINK)), key=lambda i: found[i][0])
+        if worst[0] < now / 2:
+            best = 0
+        elif not found[best][0] < value - 1e-12 * abs(value):
+            best = min(range(len(SHRINK)), key=worst.__getitem__)
+            if not worst[best] < 0.999 * now:
+                break
+        vector, (value, gap, totals) = tried[best], found[best]
+    return [vector.tolist()], totals.tolist()
 
 
 def rates(steps: list[list[float]]) -> Column:
@@ -194,7 +220,11 @@ def rated(docs: DataFrame, labelled: DataFrame, domain: str, weights: dict[str,
     scale = (sum(now) if total is None else total) / (sum(shares) or 1.0)
     if keep_all:
         scale = max([scale, *(n / s for n, s in zip(now, shares, strict=True) if s > 0)])
-    steps, _ = fit(cells, [s * scale for s in shares])
+    targets = [s * scale for s in shares]
+    steps, totals = fit(cells, targets)
+    unmet = [f"{x}: {a:.6g} of {t:.6g}" for x, a, t in zip(names, totals, targets, strict=True) if abs(a - t) >= TOLERANCE * max(t, 1.0)]
+    if unmet:
+        warnings.warn(f"no rates give these domains their target tokens: {', '.join(unmet)}", stacklevel=3)
     out = found.withColumn("rate", F.greatest(rates(steps), F.lit(1.0)) if keep_all else rates(steps))
     return names, out.withColumn("copies", F.floor(F.col("rate") + F.col("draw")).cast("int")).drop("draw")
 

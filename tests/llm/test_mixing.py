@@ -62,3 +62,17 @@ def test_awkward_rows_and_nothing_to_learn_from(spark, docs, awkward):
     out = mix(some, "lang").collect()
     assert len(out) == len(awkward) and all(r.rate >= 0 for r in out)
     assert mixture(some.where("false")).collect() == []
+
+
+def test_small_domains_meet_their_targets(spark):
+    for small in (1e-2, 1e-3, 1e-6):
+        cells = [([64, 0], 1e9 * (1 - small)), ([0, 64], 1e9 * small)]
+        _, totals = fitted(spark, cells, [5e8, 5e8])
+        assert totals == pytest.approx([5e8, 5e8], rel=1e-4)
+
+
+def test_targets_that_cannot_be_met_are_reported(spark):
+    rows = [(i, "lorem ipsum " * 5, "aa" if i % 2 else "bb", "s", 0) for i in range(40)]  # the same text in both domains
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, tokens long")
+    with pytest.warns(UserWarning, match="aa: .* of .*bb: "):
+        mix(table, "lang", {"aa": 1, "bb": 9}).count()
