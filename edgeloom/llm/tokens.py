@@ -30,8 +30,8 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import column, local_path, new_folder, partitions_for, text_rows
 
 _BEFORE_SPACE = r"[\s\x0b\x1c-\x1f\x85\p{Z}] "
-#: A stop or comma that isn't after a word, more white space than a line feed, or the marks themselves.
-_TANGLED = r"(^|[^\pL\pN])[.,]([ \n]|$)|\n([\s\x0b\x1c-\x1f\x85\p{Z}]|$)|[\x00\x01]"
+#: A stop or comma that isn't after a word, or more white space than a line feed.
+_TANGLED = r"(^|[^\pL\pN])[.,]([ \n]|$)|\n([\s\x0b\x1c-\x1f\x85\p{Z}]|$)"
 NO_ID = -(1 << 63)
 #: Marks of what stands after a word, or after a line feed, without a space.
 AFTER_WORD, AFTER_FEED = "\0", "\1"
@@ -113,8 +113,9 @@ class Encoder:
         """The ids of all texts, each with the end id, and how many each text has."""
         texts = texts.cast(pa.string()).fill_null("")
         n = len(texts)
-        # A space after white space isn't single: such a text goes to the library whole, as the head of an empty one.
-        single = pc.invert(pc.or_(pc.match_substring_regex(texts, _BEFORE_SPACE), pc.starts_with(texts, " "))) if self.splits else pa.array([False] * n)
+        # A space after white space isn't single: such a text goes to the library whole, as the head of an empty one. So
+        # does a text that holds one of the marks.
+        single = pc.invert(pc.or_(pc.match_substring_regex(texts, _BEFORE_SPACE + r"|[\x00\x01]"), pc.starts_with(texts, " "))) if self.splits else pa.array([False] * n)
         plain = pc.if_else(single, texts, "")
         marked = plain
         for old, new in ((", ", f" {AFTER_WORD}, "), (". ", f" {AFTER_WORD}. "), (".\n", f" {AFTER_WORD}.\n {AFTER_FEED}")):

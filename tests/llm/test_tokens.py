@@ -49,3 +49,10 @@ def test_awkward_rows_and_the_empty_table(spark, docs, awkward, plain):
     out = read(spark, write(docs(awkward), default_tokenizer())).collect()
     assert sorted((r.doc_id is not None, r.doc_id or 0, r.n_tokens) for r in out) == sorted((i is not None, i or 0, len(plain(t))) for i, t in awkward)
     assert read(spark, write(docs([]), default_tokenizer())).collect() == []
+
+
+def test_texts_that_hold_the_marks(plain):
+    texts = ["a \x00b c", "a \x01b", "word \x00. c", "x \x00, y", "a \x00.\n b", "\x00", "one, two \x01three. four"]
+    ids, counts = Encoder(default_tokenizer()).encode(pa.array(texts))
+    ends = np.cumsum(counts)
+    assert [ids[a:b].tolist() for a, b in zip([0, *ends], ends, strict=False)] == [plain(t) for t in texts]
