@@ -8,7 +8,7 @@ components, are verified on full sets: size(a & b) * den >= num * size(a | b). L
 forest; components come from alternating large-star and small-star.
 
 At the threshold 0.8 a pair shares none of 32 bands of 4 with probability 5e-8, and falls under the estimate's floor
-(0.64, four and a half standard deviations) with 1e-6; below are no caps. Copies of a text collapse into one class by
+(75 of 128 minima or fewer, six standard deviations) with 2.7e-8 (binomial); below are no caps. Copies of a text collapse into one class by
 partial aggregation before anything meets.
 
 A text that is null or has no words has an empty set and is linked with nothing. Rows with the same doc_id count as
@@ -29,7 +29,7 @@ from .graph import components
 
 HASHES, ROWS = 128, 4
 #: Standard deviations that the estimate may fall short of the threshold.
-SLACK = 4.5
+SLACK = 6.0
 #: Members and shingles of a block of a component that is verified.
 BLOCK, BLOCK_SHINGLES = 1024, 2_000_000
 

@@ -100,3 +100,14 @@ def test_star_components_on_random_graphs(spark):
         root[y] = x
     want = {(v, find(v)) for e in links for v in e if e[0] != e[1]}
     assert {tuple(r) for r in components(spark.createDataFrame(links, "a long, b long")).collect()} == want
+
+
+def test_a_pair_at_the_threshold_is_hardly_ever_missed():
+    from math import ceil, comb
+
+    from edgeloom.llm.neardup import HASHES, ROWS, SLACK
+
+    s = 0.8
+    need = ceil((s - SLACK * (s * (1 - s) / HASHES) ** 0.5) * HASHES)
+    pruned = sum(comb(HASHES, k) * s**k * (1 - s) ** (HASHES - k) for k in range(need))
+    assert pruned + (1 - s**ROWS) ** (HASHES // ROWS) < 1e-7
