@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 HOT_SHARE = 1000
 #: Rows of a table that may be broadcast after a count of it.
 BROADCAST_ROWS = 500_000
+#: Rows of a file of a stored table whose size is known.
+FILE_ROWS = 500_000
 #: Bytes of text that numpy works on at once.
 SLICE = 2 << 20
 
@@ -59,14 +61,15 @@ def new_folder(spark: SparkSession, what: str) -> str:
     return path
 
 
-def only_result(spark: SparkSession, what: str, build: Callable[[], DataFrame]) -> DataFrame:
-    """What `build` returns, stored; the tables that it stored on the way are deleted."""
+def only_result(spark: SparkSession, what: str, build: Callable[[], tuple[DataFrame, int | None]]) -> DataFrame:
+    """What `build` returns (and a bound of its rows, see `stored`), stored; the tables that it stored on the way are
+    deleted."""
     token = _made.set([])
     try:
-        result, made = build(), _made.get()
+        (result, rows), made = build(), _made.get()
     finally:
         _made.reset(token)
-    out = stored(result, what)
+    out = stored(result, what, rows)
     for path in made:
         _remove(spark, path)
     return out
@@ -80,8 +83,14 @@ def local_path(url: str) -> str:
     return unquote(parsed.path)
 
 
-def stored(df: DataFrame, what: str) -> DataFrame:
-    """df written to the scratch folder and read again: cuts the lineage and survives the loss of executors."""
+def stored(df: DataFrame, what: str, rows: int | None = None) -> DataFrame:
+    """df written to the scratch folder and read again: cuts the lineage and survives the loss of executors.
+
+    rows: a bound of the rows of a narrow table, where one is known. Then the number of files follows it, not the
+    partitions of the last shuffle.
+    """
+    if rows is not None:
+        df = df.repartition(max(1, -(-rows // FILE_ROWS)))
     path, writer = new_folder(df.sparkSession, what), df.write
     if path.startswith("file:"):  # no checksum file beside each file, each of which starts a process to set its mode
         writer = writer.option("fs.file.impl", "org.apache.hadoop.fs.RawLocalFileSystem").option("fs.file.impl.disable.cache", "true")
@@ -93,7 +102,7 @@ def within_broadcast(df: DataFrame, limit: int = BROADCAST_ROWS) -> bool:
     return df.limit(limit + 1).count() <= limit
 
 
-def keep_keys(big: DataFrame, keys: DataFrame, on: str) -> DataFrame:
+def keep_keys(big: DataFrame, keys: DataFrame, on: str | list[str]) -> DataFrame:
     """big joined with keys (unique in `on`): broadcast if a count shows that keys are few, else a shuffle join."""
     return big.join(F.broadcast(keys), on) if within_broadcast(keys) else big.join(keys, on)
 
@@ -231,8 +240,9 @@ def sums(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return total[offsets[1:]] - total[offsets[:-1]]
 
 
-_LETTER = re.compile(r"[^\W\d_]")
+_ASCII_LETTER = re.compile(rb"[A-Za-z]")
 
 
 def has_letter(text: bytes | None) -> bool:
-    return bool(text) and bool(_LETTER.search(text.decode("utf-8", "replace")))
+    """Whether str.isalpha holds for any character: marks such as a raised 2 are none."""
+    return bool(text) and (bool(_ASCII_LETTER.search(text)) or any(map(str.isalpha, text.decode("utf-8", "replace"))))

@@ -30,10 +30,9 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .langid import identify, learn
 
-    docs = documents(spark, sf_dir).select("doc_id", "text", "lang", (id_bucket(4) == 2).alias("held_out"))
-    model = learn(docs.where("not held_out"))
-    out = identify(docs, model)
-    return out.select("doc_id", (id_bucket(4) == 2).alias("held_out"), "lang_pred", "score")
+    docs, held_out = documents(spark, sf_dir), F.coalesce(id_bucket(4) == 2, F.lit(False))  # a null id isn't held out
+    out = identify(docs, learn(docs.where(~held_out)))
+    return out.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
 def op4_token_ids(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
@@ -48,7 +47,8 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(id_bucket(3) != 1)
     out = scored(docs, learn(docs, labels), "doc_id")
-    return out.select("doc_id", (id_bucket(3) == 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    held_out = F.coalesce(id_bucket(3) == 1, F.lit(False))  # a null id isn't held out, and has no label
+    return out.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,7 +72,7 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .lines import line_members
 
-    return line_members(documents(spark, sf_dir)).withColumnRenamed("id", "line_id")
+    return line_members(documents(spark, sf_dir))
 
 
 def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -95,6 +95,24 @@ def test_classes_against_all_pairs(docs, awkward, monkeypatch):
     assert line_classes(docs([])).collect() == []
 
 
+def test_very_long_lines(docs, awkward):
+    """A line of 200,000 characters, one edit of it, three edits of it, and the long rows as they are."""
+    long = "".join(random.Random(8).choices("abcdefgh ", k=200_000)).strip()
+    assert within(long, long[:70_000] + "Z" + long[70_001:150_000] + long[150_001:], 2)
+    assert not within(long, long[:7] + "Z" + long[8:100_000] + "Z" + long[100_001:199_000] + "Z" + long[199_001:], 2)
+    rows = [*awkward, (20, long), (21, long[:90_000] + "!" + long[90_000:]), (22, long[:5] + "?" + long[6:9] + "?" + long[10:199_990] + "?" + long[199_991:])]
+    got = {(r.doc_id, r.line): (r.class_doc_id, r.copies) for r in line_classes(docs(rows)).collect()}
+    assert got[20, 0] == (20, 1) and got[21, 0] == (20, 1) and got[22, 0] == (22, 1) and got[4, 0] == (4, 2)
+
+
+def test_columns_may_have_any_name(docs):
+    rows = [(1, "a first line\nsecond"), (2, "a first line\nthird"), (None, "a first line")]
+    table = docs(rows).selectExpr("*", "doc_id as _gone", "doc_id as _id", "text as gone", "text as id", "text as row", "text as a")
+    out = deduplicated(table)
+    assert out.columns == table.columns
+    assert sorted((r.doc_id or 0, r.text, r.gone) for r in out.collect()) == [(0, "a first line", "a first line"), (1, "second", rows[0][1]), (2, "third", rows[1][1])]
+
+
 def test_texts_lose_repeated_lines(docs):
     rows = [(1, "a first line\nthe second line of it\n\nc"), (2, "the second line of it!\nnew one"), (3, None), (4, "new one")]
     out = {r.doc_id: r.text for r in deduplicated(docs(rows)).collect()}
