@@ -1,11 +1,13 @@
 """Soft-membership mixing of sources to target weights.
 
 A classifier learnt from labelled rows (naive Bayes over pairs of bytes, its confidence scaled to fit) gives each
-document a posterior over domains, rounded to a grid of 1 / GRID. Nonnegative rates r are fitted so that the expected
-tokens of each domain, sum of r * tokens * posterior, meet the targets: of all such rates those nearest to 1, by Newton
-steps on the dual problem. Targets that no rates meet are missed by the least relative squared errors, with a warning.
-Documents with equal posteriors have equal rates, so the rates live on the cells of the grid (a table of tokens by cell);
-each step is two distributed aggregates. A document is repeated floor(rate + u) times, u a uniform hash of the row.
+document a posterior over domains. Nonnegative rates r are fitted by projected gradient steps so that the expected tokens
+of each domain, sum of r * tokens * posterior, meet the targets: least squares of the relative gaps, from r = 1. A step
+scales the gradient by the domains' Gram matrix over the documents that can still move (two-metric projection: Bertsekas,
+1982), so that the sizes of the domains don't matter, and r is cut at 0. It ends where no step helps
+(Karush-Kuhn-Tucker); targets that no rates meet are missed by the least squared relative gaps, with a warning, and a
+search that doesn't end in STEPS steps says so. A step is a pair of vectors over domains, so it applies to every document
+on its own; each one takes two distributed sums over the documents. A document is repeated floor(rate + u) times, u a uniform hash of the row.
 
 The classifier is fitted on a bounded sample of labelled rows (PER_DOMAIN expected for each domain), counted on the
 executors. Without labelled rows there are no domains, and every rate is 1.
@@ -27,11 +29,13 @@ from pyspark.sql import types as T
 from .common import byte_slices, column, packed, stored, sums, text_rows, texts_of
 
 PER_DOMAIN = 400
-GRID = 64
-#: The search ends by itself after a few steps; STEPS only guards against one that doesn't.
-STEPS, TOLERANCE = 5000, 1e-4
-#: Weight of the vector's square: a target is missed by this share times the vector. And parts of a step that are tried.
-SOFT, SHRINK = 1e-11, (1.0, 0.5, 0.25, 0.1, 0.03, 1e-2, 1e-3, 1e-4, 1e-6)
+#: The search ends by itself after a few steps if targets can be met; STEPS guards against one that doesn't.
+STEPS, TOLERANCE = 60, 1e-4
+#: What keeps the scaling of a step finite, as a share of its own.
+SOFT = 1e-11
+#: What is tried in each step: rates near 0 that only take an unscaled step, parts of the scaled step, and multiples of an
+#: unscaled one.
+NEAR, PARTS, MULTIPLES = (0.0, 1e-3, 0.03, 0.3), (1.0, 0.5, 0.1, 0.01), (1.0, 10.0, 100.0, 1000.0)
 
 
 def _pairs(data: np.ndarray) -> np.ndarray:
@@ -120,82 +124,85 @@ def logits(batch: pa.RecordBatch, model: dict, name: str = "text") -> tuple[np.n
 
 
 def posteriors(docs: DataFrame, model: dict, *keep: str) -> DataFrame:
-    """The columns `keep`, tokens and the posterior in steps of 1 / GRID (`cell`, array<int>, its sum is GRID)."""
+    """The columns `keep`, tokens and the posterior (array<double>, in the order of the domains)."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     own = docs.select(*keep, "text")
-    schema = T.StructType([*own.schema[: len(keep)], T.StructField("tokens", T.LongType()), T.StructField("cell", T.ArrayType(T.IntegerType()))])
+    schema = T.StructType([*own.schema[: len(keep)], T.StructField("tokens", T.LongType()), T.StructField("posterior", T.ArrayType(T.DoubleType()))])
 
     def run(batches):
         model = shared.value
         for batch in batches:
             logit, tokens = logits(batch, model)
-            grid = np.zeros(logit.shape, np.int64)
-            if logit.shape[1] and len(logit):
+            p = logit
+            if logit.size:
                 z = model["prior"] + model["scale"] * logit
                 p = np.exp(z - z.max(1, keepdims=True))
-                p = p / p.sum(1, keepdims=True) * GRID
-                grid = np.floor(p).astype(np.int64)
-                rank = np.argsort(np.argsort(grid - p, 1, kind="stable"), 1)  # the largest remainders get the rest
-                grid += rank < (GRID - grid.sum(1))[:, None]
-            cells = pa.array(grid.tolist(), pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([*(column(batch, c) for c in keep), pa.array(tokens), cells], [*keep, "tokens", "cell"])
+                p = p / p.sum(1, keepdims=True)
+            yield pa.RecordBatch.from_arrays([*(column(batch, c) for c in keep), pa.array(tokens), pa.array(p.tolist(), pa.list_(pa.float64()))], [*keep, "tokens", "posterior"])
 
     return own.mapInArrow(run, schema)
 
 
-def fit(cells: DataFrame, targets: list[float]) -> tuple[list[list[float]], list[float]]:
-    """Steps (a vector over domains each; one is enough) to the rates, and the domain totals that they lead to.
+#: How a step changes a rate: by a scaled vector, or an unscaled one where the rate is near 0 and to be lowered; and how near.
+Step = tuple[list[float], list[float], float]
 
-    cells: (cell, tokens). Minimised is the sum of tokens (rate - 1)^2 / 2, and of (total - target)^2 / target at a price
-    so high that targets that can be met are met. At the minimum the rate of a cell is 1 less the product of its posterior
-    and a vector, cut at 0; the vector comes from Newton steps with a line search on the dual problem, which is convex and
-    quadratic by pieces, so the sizes of the domains don't matter. It ends where no step helps (Karush-Kuhn-Tucker).
+
+def fit(soft: DataFrame, targets: list[float]) -> tuple[list[Step], list[float], bool]:
+    """Steps to the rates, the domain totals that they lead to, and whether no step helps any more.
+
+    soft: (tokens, posterior) of each document. With gaps g = (total - target) / target, the gradient of |g|^2 / 2 by the
+    rate of a document is tokens * (q . g), q its posterior / targets. An unscaled step lowers the rate by a multiple of
+    q . g, a scaled one by q . v, where v = M^-1 g and M = sum of tokens * q q' over the documents that it moves.
     """
-    n, size, target = len(targets), np.maximum(targets, 1.0), np.array(targets, float)
-    share = [F.col("cell")[d] / GRID for d in range(n)]
-
-    def sums_of(columns: list[Column]) -> np.ndarray:
-        return np.array([x or 0.0 for x in cells.agg(*columns).first()])
-
-    def values(vectors: list[np.ndarray]) -> list[tuple[float, np.ndarray, np.ndarray]]:
-        """The dual, its gradient by the targets and the totals at each vector."""
-        columns = []
-        for v in vectors:
-            mass = rates([v.tolist()]) * F.col("tokens")
-            columns += [F.sum(mass * rates([v.tolist()]) / 2), *(F.sum(mass * p) for p in share)]
-        found = sums_of(columns).reshape(len(vectors), n + 1)
-        return [(row[0] + v @ target + SOFT / 2 * size @ v**2, (row[1:] - target) / size - SOFT * v, row[1:]) for v, row in zip(vectors, found, strict=True)]
-
-    vector = np.zeros(n)
-    [(value, gap, totals)] = values([vector])
+    n, size = len(targets), np.maximum(targets, 1.0)
+    share = [F.col("posterior")[d] for d in range(n)]
+
+    def sums_of(steps: list[Step], columns: list[Column]) -> np.ndarray:
+        found = soft.withColumn("rate", rates(steps)).agg(*columns).first()
+        return np.array([x or 0.0 for x in found])
+
+    steps: list[Step] = []
+    totals = sums_of(steps, [F.sum(F.col("tokens") * p) for p in share])
+    gram = sums_of(steps, [F.sum(F.col("tokens") * p * q) for p in share for q in share]).reshape(n, n) / np.outer(size, size)
+    pace = 1 / max(float(np.linalg.eigvalsh(gram)[-1]), 1e-300)
     for _ in range(STEPS):
+        gap = (totals - targets) / size
         if np.abs(gap).max() < 1e-9:
-            break
-        open_ = F.when(rates([vector.tolist()]) > 0, F.col("tokens")).otherwise(0.0)
-        curve = sums_of([F.sum(open_ * p * q) for p in share for q in share]).reshape(n, n)
-        root = np.sqrt(size)
-        step = np.linalg.solve(curve / np.outer(root, root) + SOFT * np.eye(n), gap * root) / root
-        tried = [vector + x * step for x in SHRINK]
-        found = values(tried)
-        worst, now = [np.abs(x[1]).max() for x in found], np.abs(gap).max()
-        best = min(range(len(SHRINK)), key=lambda i: found[i][0])
-        if worst[0] < now / 2:
-            best = 0
-        elif not found[best][0] < value - 1e-12 * abs(value):
-            best = min(range(len(SHRINK)), key=worst.__getitem__)
-            if not worst[best] < 0.999 * now:
-                break
-        vector, (value, gap, totals) = tried[best], found[best]
-    return [vector.tolist()], totals.tolist()
-
-
-def rates(steps: list[list[float]]) -> Column:
-    """The rate of a `cell` after the steps."""
+            return steps, totals.tolist(), True
+        plain = pace * gap / size
+        moving = [F.when((F.col("rate") > x) | (_dot(plain.tolist()) < 0), F.col("tokens")).otherwise(0.0) for x in NEAR]
+        grams = sums_of(steps, [F.sum(m * p * q) for m in moving for p in share for q in share]).reshape(len(NEAR), n, n) / np.outer(size, size)
+        tried: list[Step] = [((x * plain).tolist(), (x * plain).tolist(), 0.0) for x in MULTIPLES]
+        for near, m in zip(NEAR, grams, strict=True):
+            root = np.sqrt(np.where(np.diag(m) > 0, np.diag(m), 1.0))
+            v = np.linalg.solve(m / np.outer(root, root) + SOFT * np.eye(n), gap / root) / root
+            tried += [((x * v / size).tolist(), plain.tolist(), near) for x in PARTS]
+        found = sums_of(steps, [F.sum(_moved(F.col("rate"), x) * F.col("tokens") * p) for x in tried for p in share]).reshape(len(tried), n)
+        loss = (((found - targets) / size) ** 2).sum(1)
+        best = int(np.argmin(loss))
+        if not loss[best] < (gap**2).sum() * (1 - 1e-9):
+            return steps, totals.tolist(), True
+        steps, totals = [*steps, tried[best]], found[best]
+    return steps, totals.tolist(), False
+
+
+def _dot(vector: list[float]) -> Column:
+    return sum((F.col("posterior")[d] * x for d, x in enumerate(vector)), F.lit(0.0))
+
+
+def _moved(rate: Column, step: Step) -> Column:
+    scaled, plain, near = step
+    return F.greatest(F.lit(0.0), rate - F.when((rate > near) | (_dot(plain) < 0), _dot(scaled)).otherwise(_dot(plain)))
+
+
+def rates(steps: list[Step]) -> Column:
+    """The rate of a document, from its posterior, after the steps."""
     if not steps:
         return F.lit(1.0)
-    path = F.array(*(F.array(*map(F.lit, s)) for s in steps))
-    dot = lambda s: F.aggregate(F.zip_with("cell", s, lambda c, v: c * v / GRID), F.lit(0.0), lambda a, x: a + x)
-    return F.aggregate(path, F.lit(1.0), lambda r, s: F.greatest(F.lit(0.0), r - dot(s)))
+    dot = lambda vector: F.aggregate(F.zip_with("posterior", vector, lambda p, v: p * v), F.lit(0.0), lambda a, x: a + x)
+    path = F.array(*(F.struct(F.array(*map(F.lit, v)).alias("v"), F.array(*map(F.lit, u)).alias("u"), F.lit(near).alias("near")) for v, u, near in steps))
+    moved = lambda r, s: F.greatest(F.lit(0.0), r - F.when((r > s["near"]) | (dot(s["u"]) < 0), dot(s["v"])).otherwise(dot(s["u"])))
+    return F.aggregate(path, F.lit(1.0), moved)
 
 
 def default_weights(totals: list[float], power: float = 0.7) -> list[float]:
@@ -205,7 +212,7 @@ def default_weights(totals: list[float], power: float = 0.7) -> list[float]:
 
 
 def rated(docs: DataFrame, labelled: DataFrame, domain: str, weights: dict[str, float] | None, total: float | None, keep_all: bool, *keep: str) -> tuple[list[str], DataFrame]:
-    """The domains, and the columns `keep` with tokens, cell, rate and copies. weights: target shares by domain (default:
+    """The domains, and the columns `keep` with tokens, posterior, rate and copies. weights: target shares by domain (default:
     sizes to the power 0.7); total: expected tokens (default: those of docs; with keep_all so many that the domain that
     is to shrink most keeps its size, and no document is dropped)."""
     model = learn(labelled, domain)
@@ -214,17 +221,18 @@ def rated(docs: DataFrame, labelled: DataFrame, domain: str, weights: dict[str,
     found = posteriors(docs, model, *keep, "draw")  # computed twice rather than stored: it may hold whole rows
     if not names:
         return names, found.withColumns({"rate": F.lit(1.0), "copies": F.lit(1)}).drop("draw")
-    cells = stored(posteriors(docs, model).groupBy("cell").agg(F.sum("tokens").cast("double").alias("tokens")), "cells")
-    now = [x or 0.0 for x in cells.agg(*(F.sum(F.col("tokens") * F.col("cell")[d]) / GRID for d in range(len(names)))).first()]
+    soft = stored(posteriors(docs, model), "soft")
+    now = [x or 0.0 for x in soft.agg(*(F.sum(F.col("tokens") * F.col("posterior")[d]) for d in range(len(names)))).first()]
     shares = [weights.get(x, 0.0) for x in names] if weights else default_weights(now)
     scale = (sum(now) if total is None else total) / (sum(shares) or 1.0)
     if keep_all:
         scale = max([scale, *(n / s for n, s in zip(now, shares, strict=True) if s > 0)])
     targets = [s * scale for s in shares]
-    steps, totals = fit(cells, targets)
+    steps, totals, ended = fit(soft, targets)
     unmet = [f"{x}: {a:.6g} of {t:.6g}" for x, a, t in zip(names, totals, targets, strict=True) if abs(a - t) >= TOLERANCE * max(t, 1.0)]
     if unmet:
-        warnings.warn(f"no rates give these domains their target tokens: {', '.join(unmet)}", stacklevel=3)
+        why = "no rates give these domains their target tokens" if ended else f"after {STEPS} steps these domains don't have their target tokens"
+        warnings.warn(f"{why}: {', '.join(unmet)}", stacklevel=3)
     out = found.withColumn("rate", F.greatest(rates(steps), F.lit(1.0)) if keep_all else rates(steps))
     return names, out.withColumn("copies", F.floor(F.col("rate") + F.col("draw")).cast("int")).drop("draw")
 
@@ -232,7 +240,7 @@ def rated(docs: DataFrame, labelled: DataFrame, domain: str, weights: dict[str,
 def mix(docs: DataFrame, domain: str = "lang", weights: dict[str, float] | None = None, total: float | None = None) -> DataFrame:
     """doc_id, tokens, p_<domain> for each domain, rate and copies of each row."""
     names, out = rated(packed(docs), docs, domain, weights, total, False, "doc_id")
-    shares = [(F.col("cell")[d] / GRID).alias(f"p_{x}") for d, x in enumerate(names)]
+    shares = [F.col("posterior")[d].alias(f"p_{x}") for d, x in enumerate(names)]
     return out.select("doc_id", "tokens", *shares, "rate", "copies")
 
 
