@@ -1,16 +1,18 @@
 """Language identification by prediction by partial matching (PPM).
 
 Each language has a byte context tree of order 3. Its frozen counts give every byte a probability in the longest
-context that is kept; a byte that the context has not seen escapes (method C, with exclusion) to the next shorter
-one, and from the empty context to the uniform distribution. So each tree is a proper distribution over bytes, and the
-code length of a text is the exact sum over its bytes. The shortest code wins; `score` is its posterior probability.
+context that the language has; a byte that the context has not seen escapes (method C, with exclusion) to the next
+shorter one, and from the empty context to the uniform distribution. So each tree is a proper distribution over bytes,
+and the code length of a text is the exact sum over its bytes. The shortest code wins; `score` is its posterior
+probability.
 
 The trees are learnt from a bounded sample of the labelled rows (PER_LANGUAGE of them, expected, for each language;
-counted on the executors). Contexts of order 3 are kept by frequency within MODEL_BYTES; a dropped one means its
-suffix, for all languages alike. Scoring is a lookup: context -> state -> code length of the byte in each language.
+counted on the executors) and hold every context of the sample, as sorted arrays. Scoring is a binary search of each
+byte with its context among all that any language has seen; those that none has seen go down the trees.
 
-A text that is null or has no letter is `und` with score 0. Ties go to the first language in byte order. Null labels
-are not learnt from. Without any labelled row all texts are `und`. Texts are scored whole, in slices of a few MB.
+A text that is null or has no letter (str.isalpha) is `und` with score 0. Ties go to the first language in byte order.
+Null labels are not learnt from; a row with a null doc_id is. Without any labelled row all texts are `und`. Texts are
+scored whole, in slices of a few MB.
 """
 
 from __future__ import annotations
@@ -26,9 +28,6 @@ from .common import byte_slices, column, has_letter, text_rows, texts_of
 
 ORDER = 3
 PER_LANGUAGE = 600
-MODEL_BYTES = 48 << 20
-#: n-grams that the driver takes at most, the most frequent ones.
-MODEL_GRAMS = 2_000_000
 PAD = 32
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
@@ -72,73 +71,87 @@ def learn(labelled: DataFrame, per_language: int = PER_LANGUAGE) -> dict:
     share = F.lit(0)
     for lang, n in sizes.items():
         share = F.when(F.col("lang") == lang, int(min(1.0, per_language / n) * 1_000_000)).otherwise(share)
-    sample = labelled.where(F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(1_000_000)) < share).select("text", "lang")
+    sample = labelled.where(F.pmod(F.xxhash64("doc_id", "text", F.lit(17)), F.lit(1_000_000)) < share).select("text", "lang")
     grams = sample.mapInArrow(_count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    rows = grams.orderBy(F.desc("n"), "lang", "gram").limit(MODEL_GRAMS).toArrow()
+    rows = grams.toArrow()  # no more than the sample has bytes
     langs = sorted(sizes, key=lambda x: x.encode())
     number = {x: i for i, x in enumerate(langs)}
     lang = np.array([number[x] for x in rows["lang"].to_pylist()], np.int64)
     return {"id": uuid.uuid4().hex, "langs": langs, "lang": lang, "gram": rows["gram"].to_numpy(), "n": rows["n"].to_numpy()}
 
 
-def _distributions(counts: np.ndarray, lower: np.ndarray) -> np.ndarray:
-    """PPM of rows of byte counts, method C with exclusion, over the distributions of the shorter contexts."""
-    seen = counts > 0
-    total, kinds = counts.sum(1, keepdims=True), seen.sum(1, keepdims=True)
-    rest = np.where(seen, 0, lower)
-    left = rest.sum(1, keepdims=True)
-    escape = np.where(left > 0, kinds, 0)
-    p = np.where(seen, counts / np.maximum(total + escape, 1), rest / np.where(left > 0, left, 1) * (escape / np.maximum(total + escape, 1)))
-    return np.where(total > 0, p, lower)
+def _places(values: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where sorted keys have the values, and whether they have them."""
+    if not len(keys):
+        return np.zeros(len(values), np.int64), np.zeros(len(values), bool)
+    at = np.minimum(np.searchsorted(keys, values), len(keys) - 1)
+    return at, keys[at] == values
+
+
+class Tree:
+    """The context tree of a language, from the counts of its bytes with ORDER bytes before each."""
+
+    def __init__(self, gram: np.ndarray, n: np.ndarray):
+        counts = np.bincount(gram & 255, n, 256)
+        seen = counts > 0
+        total, kinds = counts.sum(), seen.sum()
+        escape = kinds if kinds < 256 else 0
+        p = np.where(seen, counts / max(total + escape, 1), escape / max(total + escape, 1) / max(256 - kinds, 1)) if total else np.full(256, 1 / 256)
+        self.root = -np.log2(p)
+        self.levels = []  # for each order: bytes with their contexts, their code lengths, contexts, what an escape costs
+        shorter = np.arange(256)
+        for order in range(1, ORDER + 1):
+            keys, at = np.unique(gram & ((1 << 8 * order + 8) - 1), return_inverse=True)
+            counts = np.bincount(at, n, len(keys))
+            ctx, where = np.unique(keys >> 8, return_inverse=True)
+            total, kinds = np.bincount(where, counts, len(ctx)), np.bincount(where, minlength=len(ctx))
+            escape = np.where(kinds < 256, kinds, 0)
+            below = p[np.searchsorted(shorter, keys & ((1 << 8 * order) - 1))]  # of the same bytes in the shorter contexts
+            left = np.where(escape > 0, 1 - np.bincount(where, below, len(ctx)), 1)
+            p, shorter = counts / (total + escape)[where], keys
+            self.levels.append((keys, -np.log2(p), ctx, -np.log2(np.maximum(escape, 1) / (total + escape) / left)))
+
+    def code_lengths(self, gram: np.ndarray) -> np.ndarray:
+        """Bits of bytes with their contexts."""
+        out, spent, open_ = np.zeros(len(gram)), np.zeros(len(gram)), np.ones(len(gram), bool)
+        for order in range(ORDER, 0, -1):
+            keys, bits, ctx, escape = self.levels[order - 1]
+            some = gram & ((1 << 8 * order + 8) - 1)
+            at, hit = _places(some, keys)
+            hit &= open_
+            out[hit] = spent[hit] + bits[at[hit]]
+            open_ &= ~hit
+            at, known = _places(some >> 8, ctx)
+            known &= open_
+            spent[known] += escape[at[known]]
+        out[open_] = spent[open_] + self.root[gram[open_] & 255]
+        return out
 
 
 class Trees:
-    """state[context of 3 bytes] and, for each language, bits[state * 256 + byte]."""
+    """The trees of all languages, and for each byte with its context that any of them has seen its bits in each."""
 
     def __init__(self, model: dict):
         self.langs = model["langs"]
-        lang, gram, n = model["lang"], model["gram"], model["n"]
-        few = max(1, len(self.langs))
-        room = max(1024, MODEL_BYTES // (1024 * few))
-        kept, self.state = [np.zeros(1, np.int64)], np.zeros(1, np.int32)
-        for order in range(1, ORDER + 1):
-            ids, where = np.unique((gram >> 8) & ((1 << 8 * order) - 1), return_inverse=True)
-            weight = np.bincount(where, n, len(ids)) if len(ids) else np.empty(0)
-            free = room - sum(map(len, kept))
-            ids = np.sort(ids[np.argsort(-weight, kind="stable")[: max(0, free)]])
-            base = sum(map(len, kept))
-            self.state = np.tile(self.state, 256)
-            shorter = self.state[ids].copy()
-            self.state[ids] = base + np.arange(len(ids))
-            kept.append(ids)
-            setattr(self, f"_shorter{order}", shorter)
-        self.bits = []
-        for k in range(len(self.langs)):
-            g, c = gram[lang == k], n[lang == k].astype(np.float64)
-            p = np.full((1, 256), 1 / 256)
-            for order in range(ORDER + 1):
-                ids = kept[order]
-                counts = np.zeros((len(ids), 256))
-                ctx = (g >> 8) & ((1 << 8 * order) - 1)
-                at = np.minimum(np.searchsorted(ids, ctx), max(0, len(ids) - 1))
-                ok = ids[at] == ctx if len(ids) else np.zeros(len(ctx), bool)
-                np.add.at(counts, (at[ok], g[ok] & 255), c[ok])
-                if order == 0:
-                    p = _distributions(counts, p)
-                else:
-                    p = np.concatenate([p, _distributions(counts, p[getattr(self, f"_shorter{order}")])])
-            self.bits.append(-np.log2(p).astype(np.float32).ravel())
-        self.state = self.state.astype(np.uint16 if sum(map(len, kept)) < 65536 else np.int32)
+        lang, gram, n = model["lang"], model["gram"], model["n"].astype(np.float64)
+        self.trees = [Tree(gram[lang == k], n[lang == k]) for k in range(len(self.langs))]
+        keys = np.unique(gram)
+        self.bits = [t.code_lengths(keys).astype(np.float32) for t in self.trees]
+        self.keys = keys.astype(np.uint32)
 
     def code_lengths(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Bits of each text in each language."""
         data, ctx = contexts(data, offsets)
-        cell = self.state[ctx].astype(np.int32) * 256 + data
+        gram = ctx.astype(np.uint32) << np.uint32(8) | data
         out = np.zeros((len(offsets) - 1, len(self.langs)))
         full = np.flatnonzero(np.diff(offsets))
         if len(full):
-            for k, bits in enumerate(self.bits):
-                out[full, k] = np.add.reduceat(bits[cell], offsets[:-1][full], dtype=np.float64)
+            at, hit = _places(gram, self.keys)
+            odd, where = np.unique(gram[~hit], return_inverse=True)
+            at[~hit] = len(self.keys) + where
+            for k, tree in enumerate(self.trees):
+                bits = np.concatenate([self.bits[k], tree.code_lengths(odd.astype(np.int64)).astype(np.float32)])
+                out[full, k] = np.add.reduceat(bits[at], offsets[:-1][full], dtype=np.float64)
         return out
 
 

@@ -8,19 +8,58 @@ def labelled(spark):
     return spark.createDataFrame(rows, "doc_id long, text string, lang string")
 
 
-def test_every_context_gives_a_distribution_and_lengths_are_sums(spark):
-    model = learn(labelled(spark))
-    trees = Trees(model)
-    for bits in trees.bits:
-        assert np.allclose((2.0 ** -bits.reshape(-1, 256).astype(float)).sum(1), 1, atol=1e-3)
-    text = "ción lorem XYZ".encode()
-    data, offsets = np.frombuffer(text + b"\xff", np.uint8), np.array([0, len(text), len(text), len(text) + 1])
-    got = trees.code_lengths(data, offsets)
-    low = text.lower()
-    for k, bits in enumerate(trees.bits):
-        padded = b"   " + low
-        slow = sum(bits[int(trees.state[padded[i] << 16 | padded[i + 1] << 8 | padded[i + 2]]) * 256 + padded[i + 3]] for i in range(len(low)))
-        assert np.isclose(got[0, k], slow, rtol=1e-5) and got[1, k] == 0
+def ppm(texts, order=3):
+    """A function (history, byte) -> probability by method C with exclusion, from the texts alone."""
+    counts = {}
+    for t in texts:
+        t = b" " * order + t.lower()
+        for i in range(order, len(t)):
+            for k in range(order + 1):
+                seen = counts.setdefault(t[i - k : i], {})
+                seen[t[i]] = seen.get(t[i], 0) + 1
+
+    def distribution(history):
+        lower = distribution(history[1:]) if history else [1 / 256] * 256
+        seen = counts.get(history)
+        if not seen:
+            return lower
+        rest = sum(p for b, p in enumerate(lower) if b not in seen)
+        total, escape = sum(seen.values()), len(seen) if len(seen) < 256 else 0
+        return [seen[b] / (total + escape) if b in seen else p / rest * escape / (total + escape) for b, p in enumerate(lower)]
+
+    return distribution
+
+
+def test_code_lengths_against_the_definitions(spark):
+    rows = [(r.doc_id, r.text, r.lang) for r in labelled(spark).collect()]
+    trees = Trees(learn(labelled(spark)))
+    assert trees.langs == ["aa", "bb", "cc"]
+    texts = ["ción lorem XYZ".encode(), b"", b"\xff", b"Schtz keit\x00 \n lorem ipsum dolor zzz", b"q"]
+    got = trees.code_lengths(np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)]))
+    for k, lang in enumerate(trees.langs):
+        distribution = ppm([t.encode() for _, t, x in rows if x == lang])
+        for j, text in enumerate(texts):
+            low = b"   " + text.lower()
+            want = 0.0
+            for i in range(3, len(low)):
+                p = distribution(low[i - 3 : i])
+                assert abs(sum(p) - 1) < 1e-9
+                want -= np.log2(p[low[i]])
+            assert np.isclose(got[j, k], want, rtol=1e-5), (lang, text)
+
+
+def test_marks_are_no_letters(spark, docs):
+    found = {r.doc_id: r.lang_pred for r in identify(docs([(1, "² ① ½ 12"), (2, "² é"), (3, "\u4e2d"), (None, "_-")]), learn(labelled(spark))).collect()}
+    assert found[1] == found[None] == "und" and "und" not in (found[2], found[3])
+
+
+def test_a_null_id_is_not_held_out(spark, tmp_path):
+    from edgeloom.llm.queries import QUERIES
+
+    rows = labelled(spark).unionByName(spark.createDataFrame([(None, "nur hier steht das", "dd")] * 3, "doc_id long, text string, lang string"))
+    rows.write.parquet(f"{tmp_path}/documents.parquet")
+    out = QUERIES["op3_language_id"](spark, str(tmp_path)).where("doc_id is null").collect()
+    assert [(r.held_out, r.lang_pred) for r in out] == [(False, "dd")] * 3
 
 
 def test_contexts_start_anew_with_each_text():
