@@ -6,7 +6,8 @@ until each document has one name. Two documents have the same (levels, name) exa
 come from sorting the contents, so no collision can merge texts.
 
 One sort moves the contents once. The order is (64-bit hash, content, place); the range partitions are cut at (hash,
-place), so the copies of a hot block spread over many partitions, and the driver aligns the names at the borders.
+place), so the copies of a hot block spread over many partitions. Where the last hash of a partition is the first of the
+next one, a join of the contents with that hash aligns their names; the driver sees the hashes at the borders only.
 
 Nulls: a null text equals an empty one; a null doc_id is a row like any other and loses against every number; in a
 group of null ids only, keep_id is null and each row stays. Repeated rows (same doc_id) with equal texts both stay if
@@ -16,7 +17,6 @@ their id is the largest. An empty table gives no rows. Other columns are ignored
 from __future__ import annotations
 
 import hashlib
-from collections import defaultdict
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -95,23 +95,23 @@ def named(blocks: DataFrame, partitions: int, what: str) -> DataFrame:
     ordered = ordered.repartitionByRange(partitions, "h", "row", "pos").sortWithinPartitions("h", "block")
     ranked = stored(ordered.mapInArrow(_ranked, _ddl(_OWN + _RANK)), what)
 
-    sizes = sorted(ranked.groupBy("part").agg(F.max("rank")).collect())
-    borders = defaultdict(list)
-    for r in ranked.where("edge is not null").select("part", "rank", "h", "edge").collect():  # a few a partition
-        borders[r.part].append((r.rank, r.h, bytes(r.edge)))
-    offsets, moved, known, at = [], [], {}, 0
-    for part, top in sizes:
+    ends = sorted(ranked.groupBy("part").agg(F.max("rank"), F.min("h").alias("first"), F.max("h").alias("last")).collect())
+    offsets, at = [], 0
+    for part, top, _, _ in ends:
         offsets.append((part, at))
-        for rank, h, edge in sorted(borders[part]):
-            if (name := known.setdefault((h, edge), at + rank)) != at + rank:
-                moved.append((part, rank, name))
-        last_h = max(h for _, h, _ in borders[part])
-        known = {k: v for k, v in known.items() if k[0] == last_h}
         at += top + 1
     offsets = spark.createDataFrame(offsets, "part int, offset long")
-    moved = spark.createDataFrame(moved, "part int, rank long, moved long")  # contents that go on from a neighbour
-    out = ranked.where("row is not null").join(F.broadcast(offsets), "part").join(F.broadcast(moved), ["part", "rank"], "left")
-    return out.select(*(name for name, _, _ in _OWN), F.coalesce("moved", F.col("rank") + F.col("offset")).alias("name"))
+    out = ranked.where("row is not null").join(F.broadcast(offsets), "part")
+    name = F.col("rank") + F.col("offset")
+    if shared := sorted({b.first for a, b in zip(ends, ends[1:], strict=False) if a.last == b.first}):
+        # Contents that go on from an earlier partition, a few in each, take the name that they have there.
+        hashes = spark.createDataFrame([(h,) for h in shared], "h long")
+        edges = ranked.where("edge is not null").join(F.broadcast(hashes), "h", "left_semi").select("part", "rank", "h", "edge")
+        one = edges.groupBy("h", "edge").agg(F.min(F.struct("part", "rank")).alias("one")).select("h", "edge", "one.*")
+        one = one.join(F.broadcast(offsets), "part").select("h", "edge", F.col("part").alias("origin"), name.alias("moved"))
+        moved = edges.join(one, ["h", "edge"]).where("part <> origin").select("part", "rank", "moved")
+        out, name = out.join(F.broadcast(moved), ["part", "rank"], "left"), F.coalesce("moved", name)
+    return out.select(*(x for x, _, _ in _OWN), name.alias("name"))
 
 
 def identities(docs: DataFrame, block: int = BLOCK) -> DataFrame:
