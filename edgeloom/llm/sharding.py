@@ -14,6 +14,7 @@ Repeated rows are separate rows of one group. An empty table gives no rows. Othe
 from __future__ import annotations
 
 from bisect import bisect_right
+from itertools import accumulate
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -29,48 +30,46 @@ class Prefixes:
 
     def __init__(self, groups: DataFrame):
         self.groups = groups
-        bins = groups.groupBy("_part").agg(F.sum("group_bytes").alias("b")).orderBy("_part").collect()
-        self.parts = [r._part for r in bins]
-        self.starts = [0]
-        for r in bins:
-            self.starts.append(self.starts[-1] + r.b)
+        self.start([tuple(r) for r in groups.groupBy("_part").agg(F.sum("group_bytes")).orderBy("_part").collect()])
+
+    def start(self, bins: list[tuple[int, int]]) -> None:
+        """bins: (part, bytes) of all parts, in order."""
+        self.parts, self.starts = [p for p, _ in bins], [0]
+        for _, b in bins:
+            self.starts.append(self.starts[-1] + b)
         self.total, self.fetched = self.starts[-1], {}
 
-    def reach(self, bound: int) -> int:
-        """The largest prefix sum that is at most `bound`."""
-        if bound >= self.total:
-            return self.total
+    def sizes(self, part: int) -> list[int]:
+        rows = self.groups.where(F.col("_part") == part).select("_row", "group_bytes").collect()
+        return [r.group_bytes for r in sorted(rows)]
+
+    def reach(self, bound: int) -> tuple[int, int, int]:
+        """The largest prefix sum that is at most `bound` (below the total), and part and row of the group after it."""
         i = bisect_right(self.starts, bound) - 1
         if self.starts[i] == bound:
-            return bound
+            return bound, self.parts[i], 0
         if i not in self.fetched:
             if len(self.fetched) >= 16:
                 self.fetched.pop(next(iter(self.fetched)))
-            rows = self.groups.where(F.col("_part") == self.parts[i]).select("_row", "group_bytes").collect()
-            at, inside = self.starts[i], []
-            for r in sorted(rows):
-                at += r.group_bytes
-                inside.append(at)
-            self.fetched[i] = inside
-        inside = self.fetched[i]
-        k = bisect_right(inside, bound)
-        return inside[k - 1] if k else self.starts[i]
-
-    def greedy(self, capacity: int, shards: int) -> list[int] | None:
-        """Ends of the shards if each takes all that fits; None if `shards` don't suffice."""
-        ends, at = [], 0
-        while at < self.total:
-            if len(ends) == shards:
+            self.fetched[i] = list(accumulate(self.sizes(self.parts[i]), initial=self.starts[i]))
+        k = bisect_right(self.fetched[i], bound) - 1
+        return self.fetched[i][k], self.parts[i], k
+
+    def greedy(self, capacity: int, shards: int) -> list[tuple[int, int, int]] | None:
+        """Where shards begin, but for the first, if each takes all that fits; None if `shards` don't suffice."""
+        cuts, at = [], 0
+        while self.total - at > capacity:
+            if len(cuts) == shards - 1:
                 return None
-            nxt = self.reach(at + capacity)
-            if nxt == at:
+            cuts.append(self.reach(at + capacity))
+            if cuts[-1][0] == at:
                 return None
-            ends.append(at := nxt)
-        return ends
+            at = cuts[-1][0]
+        return cuts
 
 
-def minimax_cuts(prefixes: Prefixes, largest: int, shards: int) -> list[int]:
-    """Prefix sums at which the best contiguous partition ends its shards."""
+def minimax_cuts(prefixes: Prefixes, largest: int, shards: int) -> list[tuple[int, int, int]]:
+    """Prefix sum, part and row at which the shards of the best contiguous partition begin, but for the first."""
     low = max(largest, -(-prefixes.total // shards))
     high = -(-prefixes.total // shards) + largest
     while low < high:
@@ -93,15 +92,7 @@ def shard(docs: DataFrame, shards: int = 8) -> DataFrame:
         return rows.select("doc_id", "size", "text_crc32", F.lit(0).alias("shard"), F.lit(0).cast("long").alias("slot"))
     groups = global_sorted(groups, ["first_id", "key"], total, "shard-groups", BIN // 2)
     prefixes = Prefixes(groups)
-    ends = minimax_cuts(prefixes, groups.agg(F.max("group_bytes")).first()[0], shards)
-
-    # The first group of each shard after the first, as a place in the stored order.
-    firsts = []
-    for end in ends[:-1]:
-        i = bisect_right(prefixes.starts, end) - 1
-        prefixes.reach(end + 1)
-        inside = prefixes.fetched.get(i, [])
-        firsts.append((prefixes.parts[i], bisect_right(inside, end) if prefixes.starts[i] < end else 0))
+    firsts = [(p, r) for _, p, r in minimax_cuts(prefixes, groups.agg(F.max("group_bytes")).first()[0], shards)]
     number = sum((((F.col("_part") > p) | ((F.col("_part") == p) & (F.col("_row") >= r))).cast("int") for p, r in firsts), F.lit(0))
     placed = groups.select("key", "first_id", "group_rows", number.alias("shard"))
     rows = join_groups(rows, placed, ["key"], "group_rows", total)

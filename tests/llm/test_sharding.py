@@ -1,3 +1,4 @@
+import random
 import zlib
 from itertools import groupby
 
@@ -43,6 +44,32 @@ def test_minimax_against_dynamic_programming(docs, k, small_bins, monkeypatch):
         assert [r.slot for r in own] == list(range(sum(r.shard == s for r in out)))
 
 
+def test_cuts_of_many_tables():
+    """Cuts against dynamic programming, with tiny bins and any number of shards; no table behind them."""
+    rnd = random.Random(7)
+
+    class Listed(sharding.Prefixes):
+        def __init__(self, bins):
+            self.bins = bins
+            self.start([(p, sum(b)) for p, b in enumerate(bins)])
+
+        def sizes(self, part):
+            return self.bins[part]
+
+    for _ in range(3000):
+        sizes = [rnd.choice((1, 1, 2, rnd.randint(1, 40))) for _ in range(rnd.randint(1, 25))]
+        bins, at = [], 0
+        while at < len(sizes):
+            n = rnd.randint(1, 4)
+            bins.append(sizes[at : at + n])
+            at += n
+        k = rnd.randint(1, 12)
+        places = [(p, r) for p, b in enumerate(bins) for r in range(len(b))]
+        cuts = [places.index((p, r)) for _, p, r in sharding.minimax_cuts(Listed(bins), max(sizes), k)]
+        loads = [sum(sizes[a:b]) for a, b in zip([0, *cuts], [*cuts, len(sizes)])]
+        assert len(loads) <= k and max(loads) == best(sizes, k) and min(loads) > 0, (bins, k)
+
+
 def test_equal_texts_share_a_shard_and_awkward_rows_are_kept(docs, awkward):
     out = shard(docs(awkward), 8).collect()
     assert sorted((r.doc_id or -1, r.size, r.text_crc32) for r in out) == sorted((i or -1, len((t or "").encode()) + 1, zlib.crc32((t or "").encode())) for i, t in awkward)
