@@ -35,8 +35,9 @@ EXTENSION_LANGUAGE = {
 }
 SCANNED_EXTENSIONS = (*EXTENSION_LANGUAGE, ".razor")
 SCRIPT_EXTENSIONS = (".ts", ".tsx", ".js", ".jsx", ".mjs", ".cjs")
+# Directories that no scan enters, and the folder of our own store.
 EXCLUDED_DIRECTORIES = (
-    "node_modules", ".git", ".hg", ".svn", "dist", "build", "out", "coverage", ".dsh", ".cache", "vendor", "target",
+    "node_modules", ".git", ".hg", ".svn", "dist", "build", "out", "coverage", ".edgeloom", ".cache", "vendor", "target",
     ".conda", "conda", "site-packages", ".venv", "venv", "__pycache__", ".claude", ".npm", ".pnpm-store",
 )
 _STAGES = {

@@ -55,8 +55,7 @@ def upstream(edges: DataFrame, symbol: str, depth: int) -> DataFrame:
 
     Rows that share (source, target, line) all appear, at the same hop; an edge appears once.
     """
-    calls = settled(_calls(edges))
-    by_symbol = _by_symbol(calls, True)
+    calls, by_symbol = _calls(edges), None
     level = settled(calls.where(targets_symbol(F.col("target"), symbol)).withColumn("rank", F.array("ord")))
     levels = [level.withColumn("hop", F.lit(1))]
     seen = level.select("edge_key").distinct()
@@ -64,6 +63,7 @@ def upstream(edges: DataFrame, symbol: str, depth: int) -> DataFrame:
         symbols = _callers(level)
         if not symbols:
             break
+        by_symbol = by_symbol or settled(_by_symbol(calls, True))
         level = settled(_hop(by_symbol, level, symbols, seen))
         levels.append(level.withColumn("hop", F.lit(hop)))
         seen = seen.unionByName(level.select("edge_key").distinct())
@@ -85,8 +85,7 @@ def impact_layers(walked: DataFrame) -> tuple[list[str], list[str]]:
 def reach(edges: DataFrame, start: str, goal: str, depth: int) -> DataFrame | None:
     """The edges of the shortest call path from `start` to `goal` (first in the order of the walk), with `step` from 1 at
     the start's side; None without one."""
-    calls = settled(_calls(edges))
-    by_symbol = _by_symbol(calls, False)
+    calls, by_symbol = _calls(edges), None
     level = settled(calls.where(targets_symbol(F.col("target"), short_of(goal.lower()))).withColumn("rank", F.array("ord")))
     seen, wanted = None, short_of(start.lower())
     for _ in range(clamp_depth(depth)):
@@ -98,6 +97,7 @@ def reach(edges: DataFrame, start: str, goal: str, depth: int) -> DataFrame | No
         symbols = _callers(level)
         if not symbols:
             return None
+        by_symbol = by_symbol or settled(_by_symbol(calls, False))
         level = settled(_hop(by_symbol, level, symbols, seen))
         keys = level.select("edge_key").distinct()
         seen = keys if seen is None else seen.unionByName(keys)
@@ -131,7 +131,7 @@ def callers(edges: DataFrame, matching: DataFrame, limit: int) -> Selection:
     if total >= limit or not first.rows:
         return Selection(rows[:limit], total)
     spark = edges.sparkSession
-    by_symbol = _by_symbol(_calls(edges), False)
+    by_symbol = settled(_by_symbol(_calls(edges), False))
     seen = {f"{r.source}|{r.target}|{r.line}" for r in first.rows}
     queue, expanded, guard = first.rows, set(), DEQUEUE_GUARD
     while queue and total < limit and guard > 0:

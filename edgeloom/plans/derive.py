@@ -8,18 +8,21 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: `ord` is a table's number times SPACE, plus a rank of its rows below SPACE: the key, or for two keys together the first
+#: times WIDTH plus the second. With TPC-H keys that holds up to a scale factor of 200.
+SPACE, WIDTH = 500_000_000_000_000_000, 40_000_000
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "pages")
 
 
 def _definition(table: str, prefix: str, key: str, base: int) -> str:
     file = f"'{table}/{prefix}' || cast({key} as varchar(30)) || '.row'"
-    return f"select 'definition' as kind, {file} as source, '{prefix}' || cast({key} as varchar(30)) as target, 'exact' as confidence, {file} as file, 1 as line, 1 as col, cast({base} as bigint) * 1000000000000000 + {key} as ord from {{{table}}}"
+    return f"select 'definition' as kind, {file} as source, '{prefix}' || cast({key} as varchar(30)) as target, 'exact' as confidence, {file} as file, 1 as line, 1 as col, cast({base} as bigint) * {SPACE} + {key} as ord from {{{table}}}"
 
 
 def _call(table: str, name: str, target: str, rank: str, line: int, base: int) -> str:
     """Calls of a table's rows; a row that repeats calls once."""
     file = f"'{table}/' || {name} || '.row'"
-    return f"select distinct 'call' as kind, {file} as source, {target} as target, 'exact' as confidence, {file} as file, {line} as line, 5 as col, cast({base} as bigint) * 1000000000000000 + {rank} as ord from {{{table}}}"
+    return f"select distinct 'call' as kind, {file} as source, {target} as target, 'exact' as confidence, {file} as file, {line} as line, 5 as col, cast({base} as bigint) * {SPACE} + {rank} as ord from {{{table}}}"
 
 
 def _s(x: str) -> str:
@@ -28,6 +31,8 @@ def _s(x: str) -> str:
 
 _LINE = f"'l' || {_s('l_orderkey')} || 'x' || {_s('l_linenumber')}"
 
+_ITEM = "cast(l_orderkey as bigint) * 10 + l_linenumber"
+
 #: Foreign keys: a row defines its key and calls the keys that it refers to. Acyclic, four hops deep.
 FOREIGN_KEYS = " union all ".join(
     [
@@ -41,9 +46,9 @@ FOREIGN_KEYS = " union all ".join(
         _call("customer", f"'c' || {_s('c_custkey')}", f"'n' || {_s('c_nationkey')}", "c_custkey", 2, 12),
         _call("supplier", f"'s' || {_s('s_suppkey')}", f"'n' || {_s('s_nationkey')}", "s_suppkey", 2, 13),
         _call("orders", f"'o' || {_s('o_orderkey')}", f"'c' || {_s('o_custkey')}", "o_orderkey", 2, 14),
-        _call("lineitem", _LINE, f"'o' || {_s('l_orderkey')}", "l_orderkey * 10 + l_linenumber", 2, 15),
-        _call("lineitem", _LINE, f"'p' || {_s('l_partkey')}", "(l_orderkey * 10 + l_linenumber) * 200000 + l_partkey", 3, 16),
-        _call("lineitem", _LINE, f"'s' || {_s('l_suppkey')}", "(l_orderkey * 10 + l_linenumber) * 200000 + l_suppkey", 4, 17),
+        _call("lineitem", _LINE, f"'o' || {_s('l_orderkey')}", _ITEM, 2, 15),
+        _call("lineitem", _LINE, f"'p' || {_s('l_partkey')}", f"({_ITEM}) * {WIDTH} + l_partkey", 3, 16),
+        _call("lineitem", _LINE, f"'s' || {_s('l_suppkey')}", f"({_ITEM}) * {WIDTH} + l_suppkey", 4, 17),
     ]
 )
 
@@ -59,15 +64,23 @@ METHODS = " union all ".join(
     ]
 )
 
-#: Users calling the user of the next event of the same type: cycles of all lengths.
+#: Users calling the user of the next event of the same type on the same day: cycles of all lengths.
 EVENTS = " union all ".join(
     [
         f"select distinct 'definition' as kind, 'user/u' || {_s('user_id')} || '.row' as source, 'u' || {_s('user_id')} as target, 'exact' as confidence, 'user/u' || {_s('user_id')} || '.row' as file, 1 as line, 1 as col, cast(user_id as bigint) as ord from {{events}}",
         f"select 'call', 'user/u' || {_s('user_id')} || '.row', 'u' || {_s('next_user')}, 'exact', 'user/u' || {_s('user_id')} || '.row', cast(event_id as int), 1, cast(1000000000 + event_id as bigint) "
-        "from (select event_id, user_id, lead(user_id) over (partition by event_type order by ts, event_id) as next_user from {events}) e where next_user is not null",
+        "from (select event_id, user_id, lead(user_id) over (partition by event_type, cast(ts as date) order by ts, event_id) as next_user from {events}) e where next_user is not null",
     ]
 )
 
+_HALF = _s("cast(floor(doc_id / 2) as bigint)")
+
+#: Documents calling the one with half their number, under names with slashes and dots.
+PATHS = (
+    f"select 'call' as kind, 'd/x' || {_s('doc_id')} || '.ts' as source, case doc_id % 3 when 0 then 'lib/x' || {_HALF} when 1 then 'Ns.X' || {_HALF} else 'x' || {_HALF} end as target, "
+    f"'exact' as confidence, 'd/x' || {_s('doc_id')} || '.ts' as file, 1 as line, 1 as col, cast(doc_id as bigint) as ord from {{documents}}"
+)
+
 #: Documents as files with paths of many shapes.
 FILES = (
     "select doc_id, text, cast(octet_length(encode(text)) as bigint) as size, "

@@ -9,6 +9,8 @@ from urllib.parse import urlparse
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .extract.registry import extract_files
+from .extract.samples import SAMPLES
 from .functions import names, paths
 from .model import EXCLUDED_DIRECTORIES, EXTENSION_LANGUAGE, SCANNED_EXTENSIONS, Query, ScanLimits
 from .operators import present, resolve, target, walk
@@ -461,14 +463,139 @@ def snapshot_roundtrip(spark, sf_dir):
     return tables["edges"].withColumn("version", F.lit(meta["version"]))
 
 
-@query()
-def extract_python(spark, sf_dir):
-    """Relations of small Python sources made from documents (a table function; tested in Python)."""
-    from .extract.registry import extract_files
+# --- Extraction
+
+
+def _extracted(language: str) -> None:
+    """A query for a language: the relations of a small source for each document, and the same from its table."""
+    extension, text, expected = SAMPLES[language]
+    values = ", ".join(f"('{kind}', '{name}', {line}, '{confidence}')" for kind, name, line, confidence in expected)
+
+    def run(spark, sf_dir):
+        number = F.col("doc_id").cast("string")
+        files = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.concat(F.lit("src/f"), number, F.lit(extension)).alias("path"), F.replace(F.lit(text), F.lit("@"), number).alias("text"))
+        return extract_files(files).where(F.col("kind").isin("definition", "import", "call", "inherit", "type-ref")).select("file", "kind", "name", "line", "confidence")
+
+    QUERIES[f"extract_{language}"] = run
+    ORACLE_SQL[f"extract_{language}"] = f"""select 'src/f' || cast(doc_id as varchar) || '{extension}' as file, kind, replace(name, '@', cast(doc_id as varchar)) as name, line, confidence
+        from documents cross join (values {values}) v(kind, name, line, confidence)"""
+
+
+for _language in SAMPLES:
+    _extracted(_language)
+
+
+# --- Names with slashes and dots
+
+
+def _paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return derive.graph(spark, sf_dir, derive.PATHS)
+
+
+_PATHS = derive.for_views(derive.PATHS)
+_PATH_CALLS = rf"calls as (select *, lower(target) as t, lower(regexp_replace(regexp_extract(source, '[^/]*$'), '\.[^.]+$', '')) as caller from ({_PATHS}) g)"
+
+
+@query(f"select path from ({_FILES}) f where lower(path) = 'spec.ts' or ends_with(lower(path), '/spec.ts') or ends_with(lower(path), '.spec.ts')")
+def match_call_target(spark, sf_dir):
+    return _files(spark, sf_dir).where(names.targets_symbol(F.col("path"), "Spec.ts")).select("path")
+
+
+@query(f"""with p as (select lower(path) as p from ({_FILES}) f)
+    select unnest(list_distinct(list_transform(list_filter(range(1, length(p) + 1), lambda i: i = 1 or substr(p, i - 1, 1) in ('/', '.')), lambda i: substr(p, i)))) as key, count(*) as n from p group by 1""")
+def symbol_keys_dots(spark, sf_dir):
+    keys = _files(spark, sf_dir).select(F.explode(names.symbol_keys(F.col("path"), True)).alias("key"))
+    return keys.groupBy("key").agg(F.count("*").alias("n"))
+
+
+@query(f"""with recursive {_PATH_CALLS},
+    up(name, hop) as (select 'x1', 1 union select c.caller, u.hop + 1 from up u join calls c on c.t = u.name or ends_with(c.t, '/' || u.name) or ends_with(c.t, '.' || u.name) where u.hop < 6),
+    first as (select name, min(hop) as hop from up group by name)
+    select source, target, cast(min(hop) as int) as hop from calls join first on t = name or ends_with(t, '/' || name) or ends_with(t, '.' || name) group by source, target""")
+def impact_suffixes(spark, sf_dir):
+    """Impact sees names after slashes and dots at each hop."""
+    return walk.upstream(_paths(spark, sf_dir), "X1", 6).select("source", "target", "hop")
+
+
+_STARTS = ("x6", "x7", "x12", "x3")
+
+
+@query(f"""with recursive {_PATH_CALLS},
+    up(caller, chain, n) as (select caller, [ord], 1 from calls where t = 'x1' or ends_with(t, '/x1') or ends_with(t, '.x1')
+        union all select c.caller, list_append(chain, c.ord), n + 1 from up u join calls c on c.t = u.caller or ends_with(c.t, '/' || u.caller) where n < 5),
+    best as (select s.goal, chain, n from (select unnest([{_in(_STARTS)}]) as goal) s join up on up.caller = s.goal qualify row_number() over (partition by s.goal order by n, chain) = 1)
+    select goal as start, cast(n - list_position(chain, ord) + 1 as int) as step, source, target from best join calls on list_contains(chain, ord)""")
+def reachability_suffixes(spark, sf_dir):
+    """A path's last call sees names after slashes and dots, the calls before it after slashes only."""
+    edges, out = _paths(spark, sf_dir), spark.createDataFrame([], "start string, step int, source string, target string")
+    for start in _STARTS:
+        found = walk.reach(edges, start, "x1", 5)
+        if found is not None:
+            out = out.unionByName(found.select(F.lit(start).alias("start"), "step", "source", "target"))
+    return out
+
+
+# --- More of resolution, scopes and limits
+
+_BOTH_FILES = "select 'app/' || source || '/' || lang || '.py' as file from documents where doc_id % 30 = 0 union select 'packages/' || lang || '/index.ts' from documents"
+
+
+@query(f"""with f as ({_BOTH_FILES}), i as (select doc_id, 'app/' || source || '/' || lang || '.py' as here, 'packages/' || lang || '/index.ts' as there from documents)
+    select doc_id, case when here in (select file from f) then here else there end as resolved from i""")
+def import_precedence(spark, sf_dir):
+    """A file beside the importing one goes before a package of the same name."""
+    imports = _with_documents(spark, sf_dir, "select doc_id, 'app/' || source || '/main.py' as source, lang as specifier, false as script, '.py' as extension from documents")
+    packages = _with_documents(spark, sf_dir, "select distinct 'packages/' || lang as dir, lang as name, 1 as ord from documents")
+    return resolve.resolve_imports(imports, _with_documents(spark, sf_dir, _BOTH_FILES), packages, "doc_id")
+
+
+#: Importing file, what it imports before and after a language's code, the extension, and files that are there by code.
+_MODULES = (
+    ("crate/src/lib.rs", "", "", ".rs", {"en": "crate/src/en/mod.rs", "de": "crate/src/de.rs"}),
+    ("app/x/main.py", "..pkg.", "", ".py", {"en": "app/pkg/en/__init__.py", "fr": "app/pkg/fr.py"}),
+    ("inc/main.c", "", ".h", ".c", {"en": "inc/en.h", "es": "inc/es.h"}),
+    ("a/b/Main.java", "a.b.", "", ".java", {"en": "a/b/en.java", "de": "a/b/de.java"}),
+)
+
+
+@query(f"""select doc_id, resolved from documents join (values {", ".join(f"({k}, '{lang}', '{file}')" for k, m in enumerate(_MODULES) for lang, file in m[4].items())}) v(k, code, resolved)
+    on doc_id % {len(_MODULES)} = k and lang = code""")
+def import_modules(spark, sf_dir):
+    """Rust modules, relative Python modules, C headers and Java classes."""
+    table = spark.createDataFrame([(k, *m[:4]) for k, m in enumerate(_MODULES)], "k int, source string, before string, after string, extension string")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "lang", F.pmod("doc_id", F.lit(len(_MODULES))).cast("int").alias("k"))
+    imports = docs.join(F.broadcast(table), "k").select("doc_id", "source", F.concat("before", "lang", "after").alias("specifier"), F.lit(False).alias("script"), "extension")
+    files = spark.createDataFrame([(file,) for m in _MODULES for file in m[4].values()], "file string")
+    return resolve.resolve_imports(imports, files, spark.createDataFrame([], "dir string, name string, ord int"), "doc_id")
+
+
+@query(f"select path as file from ({_FILES}) f where path like 'packages/app/%'")
+def scope_package(spark, sf_dir):
+    """A scope names a package by the end of its directory."""
+    edges = _files(spark, sf_dir).select(F.lit("definition").alias("kind"), F.col("path").alias("file"), F.lit("exact").alias("confidence"))
+    return engine.filtered(edges, Query("callers", relation="definition", scope="app/"), {"x/y": "package", "packages/app": "package"}).select("file")
+
+
+@query("select n_nationkey as asked, cast(greatest(1, least(20, n_nationkey)) as int) as depth, cast(greatest(1, least(200, n_nationkey * 12 - 20)) as int) as result_limit, cast(n_nationkey * 12 - 20 > 200 as int) as notes from nation")
+def clamps(spark, sf_dir):
+    """Depths and limits as they are put in force, and whether a limit was lowered."""
+    rows = []
+    for r in spark.read.parquet(f"{sf_dir}/nation.parquet").select(F.col("n_nationkey").cast("long").alias("n")).collect():
+        notes: list[dict] = []
+        limit = present.clamp_limit(r.n * 12 - 20, notes)
+        rows.append((r.n, walk.clamp_depth(r.n), limit, len(notes)))
+    return spark.createDataFrame(rows, "asked long, depth int, result_limit int, notes int")
+
 
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    name = F.concat(F.lit("f"), F.col("doc_id"))
-    text = F.concat(F.lit("def "), name, F.lit("():\n    return "), F.lit("f"), (F.col("doc_id") + 1).cast("string"), F.lit("()\n"))
-    return extract_files(docs.select(F.concat(F.lit("src/"), name, F.lit(".py")).alias("path"), text.alias("text")))
+@query(f"select kind, source, target, line from ({_FK}) e where kind = 'definition' and target = 's3'")
+def reachability_without_end(spark, sf_dir):
+    """Reachability without an end is a filter of definitions and imports."""
+    got = engine.answer(_fk(spark, sf_dir), Query("reachability", "S3"))
+    rows = [(e["kind"], e["source"], e["target"], e["location"]["line"]) for p in got.paths for e in p["edges"]]
+    return spark.createDataFrame(rows, "kind string, source string, target string, line int")
 
 
+@query(f"select cast(count(*) as int) as total, cast(least(count(*), 200) as int) as returned, 1 as clamped from ({_FK}) e where kind = 'call' and target = 's3'")
+def limit_cap(spark, sf_dir):
+    got = engine.answer(_fk(spark, sf_dir), Query("callers", "s3", relation="call", limit=999))
+    return spark.createDataFrame([(got.total, len(got.paths), sum("clamped" in d["message"] for d in got.diagnostics))], "total int, returned int, clamped int")

@@ -38,8 +38,15 @@ def test_other_queries_run(spark, sf_dir):
     from edgeloom.functions.paths import normalize
 
     assert all(r.path == normalize(r.raw) for r in queries.QUERIES["path_normalize"](spark, sf_dir).collect())
-    rows = queries.QUERIES["extract_python"](spark, sf_dir).collect()
-    assert len(rows) == 400 and {r.kind for r in rows} == {"definition", "call"}
+
+
+def test_places_of_edges_are_unique(spark, sf_dir):
+    from edgeloom.plans import derive
+
+    for sql in (derive.FOREIGN_KEYS, derive.EVENTS, derive.PATHS):
+        edges = derive.graph(spark, sf_dir, sql)
+        assert edges.select("ord").distinct().count() == edges.count()
+    assert 17 * derive.SPACE + (200 * 6_000_000 * 10 + 7) * derive.WIDTH + derive.WIDTH < 1 << 63 and (200 * 6_000_000 * 10 + 7) * derive.WIDTH < derive.SPACE
 
 
 def test_entry(spark):
