@@ -171,14 +171,22 @@ def fit(soft: DataFrame, targets: list[float]) -> tuple[list[Step], list[float],
             return steps, totals.tolist(), True
         plain = pace * gap / size
         moving = [F.when((F.col("rate") > x) | (_dot(plain.tolist()) < 0), F.col("tokens")).otherwise(0.0) for x in NEAR]
-        grams = sums_of(steps, [F.sum(m * p * q) for m in moving for p in share for q in share]).reshape(len(NEAR), n, n) / np.outer(size, size)
-        tried: list[Step] = [((x * plain).tolist(), (x * plain).tolist(), 0.0) for x in MULTIPLES]
-        for near, m in zip(NEAR, grams, strict=True):
-            root = np.sqrt(np.where(np.diag(m) > 0, np.diag(m), 1.0))
-            v = np.linalg.solve(m / np.outer(root, root) + SOFT * np.eye(n), gap / root) / root
-            tried += [((x * v / size).tolist(), plain.tolist(), near) for x in PARTS]
-        found = sums_of(steps, [F.sum(_moved(F.col("rate"), x) * F.col("tokens") * p) for x in tried for p in share]).reshape(len(tried), n)
-        loss = (((found - targets) / size) ** 2).sum(1)
+
+        def scaled(some: list[Column]) -> list[np.ndarray]:
+            grams = sums_of(steps, [F.sum(m * p * q) for m in some for p in share for q in share]).reshape(len(some), n, n) / np.outer(size, size)
+            roots = [np.sqrt(np.where(np.diag(m) > 0, np.diag(m), 1.0)) for m in grams]
+            return [np.linalg.solve(m / np.outer(r, r) + SOFT * np.eye(n), gap / r) / r / size for m, r in zip(grams, roots, strict=True)]
+
+        def outcome(tried: list[Step]) -> tuple[np.ndarray, np.ndarray]:
+            found = sums_of(steps, [F.sum(_moved(F.col("rate"), x) * F.col("tokens") * p) for x in tried for p in share]).reshape(len(tried), n)
+            return found, (((found - targets) / size) ** 2).sum(1)
+
+        tried: list[Step] = [(scaled(moving[:1])[0].tolist(), plain.tolist(), NEAR[0])]
+        found, loss = outcome(tried)
+        if not loss[0] < (gap**2).sum() / 4:  # the whole scaled step isn't good enough: try others beside it
+            tried = [((x * plain).tolist(), (x * plain).tolist(), 0.0) for x in MULTIPLES]
+            tried += [((x * v).tolist(), plain.tolist(), near) for near, v in zip(NEAR, scaled(moving), strict=True) for x in PARTS]
+            found, loss = outcome(tried)
         best = int(np.argmin(loss))
         if not loss[best] < (gap**2).sum() * (1 - 1e-9):
             return steps, totals.tolist(), True
