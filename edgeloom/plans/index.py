@@ -15,7 +15,7 @@ from ..extract.registry import extract_files
 from ..functions.paths import extension
 from ..model import ScanLimits, diagnostic
 from ..operators.assemble import edges_of, raw_edges
-from ..sources.files import scan
+from ..sources.files import UNREADABLE, listed, read_files, skip_notes
 from ..sources.packages import discover_tree
 from ..sources.snapshot import SnapshotStore
 from .settle import settled
@@ -80,14 +80,14 @@ class ProjectIndex:
 
     def shape(self) -> str:
         """Identifies what a scan would take: a snapshot of another shape isn't reused."""
-        parts = [self.limits.max_file_bytes, self.limits.max_files, list(self.limits.include), list(self.limits.exclude)]
+        parts = [self.limits.max_file_bytes, self.limits.max_files, list(self.limits.include), list(self.limits.exclude), "skip"]
         return hashlib.sha256(json.dumps(parts).encode()).hexdigest()
 
-    def _scan(self) -> tuple[DataFrame, list[dict]]:
-        files, notes = scan(self.spark, self.root, self.limits)
-        razor = [r.path for r in files.where(extension(F.col("path")) == ".razor").select("path").orderBy("path").collect()]
-        notes += [diagnostic("unsupported_language", f"Razor has markup-level capability only; {path} was not extracted") for path in razor]
-        return files, notes
+    def _notes(self, files: DataFrame) -> list[dict]:
+        """Diagnostics of files (path, size, skip): those left out, and those of which nothing is extracted."""
+        razor = files.where(F.col("skip").isNull() & (extension(F.col("path")) == ".razor")).select("path").orderBy("path").collect()
+        more = [diagnostic("unsupported_language", f"Razor has markup-level capability only; {r.path} was not extracted") for r in razor]
+        return skip_notes(files, self.limits) + more
 
     def _assemble(self, raw: DataFrame, files: DataFrame) -> None:
         packages = [(d, n, i) for i, (d, n) in enumerate(discover_tree(self.root))]
@@ -102,11 +102,18 @@ class ProjectIndex:
         meta = {"shape": self.shape(), "files": self.files, "packages": self.packages, "diagnostics": self.diagnostics}
         self.store.save({"raw": self.raw, "edges": self.edges, "fingerprints": self.fingerprints}, meta)
 
+    def _install(self, raw: DataFrame, files: DataFrame) -> None:
+        """Makes raw relations and their edges current, and then the fingerprints of all files, those left out too: what is
+        cancelled before its end is done anew by the next refresh."""
+        indexed = files.where("skip is null")
+        self._assemble(raw, indexed)
+        self.fingerprints, self.files = settled(files.select("path", "size", "mtime_ms", "skip")), indexed.count()
+
     def rebuild(self) -> None:
-        files, self.diagnostics = self._scan()
-        files = settled(files)
-        self._assemble(settled(extract_files(files)), files)
-        self.fingerprints, self.files = settled(files.select("path", "size", "mtime_ms")), files.count()
+        listing, notes = listed(self.spark, self.root, self.limits)
+        files = read_files(listing, self.root, self.limits)
+        self.diagnostics = self._notes(files) + notes
+        self._install(settled(extract_files(files.where("skip is null").select("path", "size", "mtime_ms", "text"))), files)
         self.status, self.refreshed = "rebuilt", None
         self._save()
 
@@ -120,19 +127,27 @@ class ProjectIndex:
         return True
 
     def _refresh(self) -> None:
-        files, notes = self._scan()
-        files = settled(files)
-        now = files.select("path", "size", "mtime_ms")
-        changes = settled(fingerprint_changes(now, self.fingerprints))
-        n = changes.where("change = 'changed'").count()
+        """Compares sizes and times first, and reads the files that differ. Files left out before and now are no change of
+        the index."""
+        listing, notes = listed(self.spark, self.root, self.limits)
+        before = self.fingerprints
+        again = before.where(F.col("skip") == UNREADABLE).select("path", F.lit("changed").alias("change"))
+        changes = settled(fingerprint_changes(listing, before).unionByName(again).distinct())
         self.refreshed = None
         if changes.isEmpty():
             self.status = "reused"
             return
-        fresh = extract_files(files.join(changes.where("change = 'changed'").select("path"), "path"))
-        self.diagnostics = notes
-        self._assemble(settled(merged(self.raw, fresh, changes, "file")), files)
-        self.fingerprints, self.files = settled(now), files.count()
+        read = read_files(listing.join(changes.where("change = 'changed'").select("path"), "path", "left_semi"), self.root, self.limits)
+        kept = before.join(changes, "path", "left_anti")
+        files = settled(kept.unionByName(read.select(*kept.columns)))
+        fresh = read.where("skip is null")
+        n, had = fresh.count(), not before.where("skip is null").join(changes, "path", "left_semi").isEmpty()
+        if n == 0 and not had:
+            self.fingerprints, self.status = files, "reused"
+            return
+        self.diagnostics = self._notes(files) + notes
+        new = extract_files(fresh.select("path", "size", "mtime_ms", "text"))
+        self._install(settled(merged(self.raw, new, changes, "file")), files)
         self.status, self.refreshed = "incremental", n
         self._save()
 
@@ -151,7 +166,7 @@ class ProjectIndex:
         """Whether an answer would need a build or a refresh."""
         if self.edges is None:
             return True
-        files, _ = self._scan()
-        return not fingerprint_changes(files.select("path", "size", "mtime_ms"), self.fingerprints).isEmpty()
+        listing, _ = listed(self.spark, self.root, self.limits)
+        return not fingerprint_changes(listing, self.fingerprints).isEmpty()
 
 

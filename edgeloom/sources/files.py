@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import os
 import re
+from collections.abc import Iterator
+from dataclasses import replace
+from itertools import islice
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -12,7 +15,12 @@ from pyspark.sql import functions as F
 from ..functions.paths import extension
 from ..model import EXCLUDED_DIRECTORIES, SCANNED_EXTENSIONS, ScanLimits, diagnostic
 
+LISTING = "path string, size long, mtime_ms double"
+#: Entries of a listing that are judged at once.
+CHUNK = 65_536
 PROBE = 8192
+#: The skip reason of a file that couldn't be opened; it gives no diagnostic and is tried again by each refresh.
+UNREADABLE = "unreadable"
 CONTROL_SHARE = 0.06
 
 
@@ -126,10 +134,9 @@ def skip_message(code: str, path: str, size: int, limits: ScanLimits) -> str:
     }[code]
 
 
-def list_tree(root: str, lines: tuple[str, ...] = ()) -> list[tuple[str, int, float]]:
-    """(path, size, mtime in ms) of the regular files below a root. Excluded directories are not entered, so a large tree
-    of dependencies costs nothing; what can't be read is left out."""
-    out: list[tuple[str, int, float]] = []
+def walk_tree(root: str, lines: tuple[str, ...] = ()) -> Iterator[tuple[str, int, float]]:
+    """(path, size, mtime in ms) of the regular files below a root, in the order of paths, so that a reader may stop.
+    Excluded directories are not entered, so a large tree of dependencies costs nothing; what can't be read is left out."""
     names = [line for line in lines if "*" not in line]
     wild = [re.compile(_wildcard(line)) for line in lines if "*" in line]
 
@@ -143,25 +150,30 @@ def list_tree(root: str, lines: tuple[str, ...] = ()) -> list[tuple[str, int, fl
                 return True
         return any(r.match(rel) or any(map(r.match, parts)) for r in wild)
 
-    def walk(folder: str, rel: str) -> None:
+    def walk(folder: str, rel: str) -> Iterator[tuple[str, int, float]]:
         try:
-            entries = sorted(os.scandir(folder), key=lambda e: e.name)
+            # A directory sorts as its name with a slash, as the paths below it do.
+            entries = sorted(((e.name + "/" * e.is_dir(follow_symlinks=False), e) for e in os.scandir(folder)), key=lambda x: x[0])
         except OSError:
             return
-        for e in entries:
+        for name, e in entries:
             at = f"{rel}/{e.name}" if rel else e.name
             try:
-                if e.is_dir(follow_symlinks=False):
+                if name.endswith("/"):
                     if not skipped(at, e.name):
-                        walk(e.path, at)
+                        yield from walk(e.path, at)
                 elif e.is_file(follow_symlinks=False):
                     stat = e.stat(follow_symlinks=False)
-                    out.append((at, stat.st_size, stat.st_mtime * 1000))
+                    yield at, stat.st_size, stat.st_mtime * 1000
             except OSError:
                 continue
 
-    walk(root, "")
-    return out
+    return walk(root, "")
+
+
+def list_tree(root: str, lines: tuple[str, ...] = ()) -> list[tuple[str, int, float]]:
+    """The whole of `walk_tree`."""
+    return list(walk_tree(root, lines))
 
 
 def read_contents(files: DataFrame, root: str, max_bytes: int) -> DataFrame:
@@ -185,26 +197,39 @@ def read_contents(files: DataFrame, root: str, max_bytes: int) -> DataFrame:
     return files.mapInPandas(run, schema)
 
 
-def scan(spark: SparkSession, root: str, limits: ScanLimits) -> tuple[DataFrame, list[dict]]:
-    """Files to index (path, size, mtime_ms, text), and a diagnostic for each deviation."""
-    from ..plans.settle import settled
-
+def listed(spark: SparkSession, root: str, limits: ScanLimits) -> tuple[DataFrame, list[dict]]:
+    """Files that count (path, size, mtime_ms), without a look at their contents, and a diagnostic if the budget left files
+    out. The tree is walked in the order of paths, and no further than the budget asks."""
     lines: tuple[str, ...] = ()
     try:
         with open(os.path.join(root, ".gitignore"), encoding="utf-8", errors="replace") as f:
             lines = ignore_lines(f.read())
     except OSError:
         pass
-    listing = spark.createDataFrame(list_tree(root, lines) or [], "path string, size long, mtime_ms double")
-    counted = eligible(listing, limits, lines)
-    taken = within_budget(counted, limits)
-    parts = max(1, min(256, taken.count() // 64))
-    read = read_contents(taken.repartition(parts), root, limits.max_file_bytes)
-    read = settled(read.withColumn("skip", skip_code(F.col("size"), F.col("content"), limits)))
-    notes = [diagnostic(r.skip, skip_message(r.skip, r.path, r.size, limits)) for r in read.where("skip is not null").select("path", "size", "skip").orderBy("path").collect()]
-    last = taken.agg(F.max("path"), F.count("*")).first()
-    if last[1] >= limits.max_files and not listing.where(F.col("path") > F.lit(last[0])).isEmpty():
-        notes.append(diagnostic("file_count_stop", f"scan stopped at {limits.max_files} files; raise max_files to index more"))
-    files = read.where("skip is null and content is not null")
-    text = F.make_valid_utf8(F.col("content").cast("string"))
-    return files.select("path", "size", "mtime_ms", text.alias("text")), notes
+    taken: list = []
+    notes: list[dict] = []
+    entries = walk_tree(root, lines)
+    while len(taken) < limits.max_files and (chunk := list(islice(entries, CHUNK))):
+        left = replace(limits, max_files=limits.max_files - len(taken))
+        taken += within_budget(eligible(spark.createDataFrame(chunk, LISTING), left, lines), left).collect()
+        if len(taken) >= limits.max_files and (chunk[-1][0] > taken[-1].path or next(entries, None)):
+            notes.append(diagnostic("file_count_stop", f"scan stopped at {limits.max_files} files; raise max_files to index more"))
+    return spark.createDataFrame(taken, LISTING), notes
+
+
+def read_files(files: DataFrame, root: str, limits: ScanLimits) -> DataFrame:
+    """files (path, size, mtime_ms) with `text` and `skip`: why a file has no text (`unreadable`: it couldn't be opened)."""
+    from ..plans.settle import settled
+
+    parts = max(1, min(256, files.count() // 64))
+    read = read_contents(files.repartition(parts), root, limits.max_file_bytes)
+    skip = F.coalesce(skip_code(F.col("size"), F.col("content"), limits), F.when(F.col("content").isNull(), UNREADABLE))
+    read = read.withColumn("skip", skip)
+    text = F.when(F.col("skip").isNull(), F.make_valid_utf8(F.col("content").cast("string")))
+    return settled(read.select("path", "size", "mtime_ms", "skip", text.alias("text")))
+
+
+def skip_notes(files: DataFrame, limits: ScanLimits) -> list[dict]:
+    """A diagnostic for each file (path, size, skip) that isn't indexed, in the order of paths."""
+    left_out = files.where(F.col("skip").isNotNull() & (F.col("skip") != UNREADABLE)).select("path", "size", "skip")
+    return [diagnostic(r.skip, skip_message(r.skip, r.path, r.size, limits)) for r in left_out.orderBy("path").collect()]

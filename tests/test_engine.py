@@ -163,6 +163,63 @@ def test_index_life_cycle(spark, tmp_path):
     assert other.warmup() == "rebuilt" and other.index.limits == ScanLimits(exclude=("d.ts",))
 
 
+def test_refresh_reads_changed_files_only(spark, tmp_path, monkeypatch):
+    from edgeloom.plans import index
+
+    real, reads = index.read_files, []
+
+    def counted(files, *rest):
+        reads.append(sorted(r.path for r in files.collect()))
+        return real(files, *rest)
+
+    monkeypatch.setattr(index, "read_files", counted)
+    root = tree(tmp_path, {"a.ts": "export function a() {}\n", "b.ts": "export const b = () => a()\n", "bin.ts": b"\x89PNG\0\0"})
+    engine = Engine(spark, root)
+    assert engine.warmup() == "rebuilt" and reads.pop() == ["a.ts", "b.ts", "bin.ts"] and engine.index.files == 2
+    assert engine.warmup() == "reused" and not engine.index.dirty() and reads == []
+    assert Engine(spark, root).warmup() == "reused" and reads == []
+    tree(tmp_path, {"bin.ts": b"\x89PNG\0\0\0"})  # left out before and after
+    assert engine.warmup() == "reused" and reads.pop() == ["bin.ts"] and engine.warmup() == "reused" and reads == []
+    tree(tmp_path, {"b.ts": "export const other = () => a()\n"})
+    got = engine.explore("callers", "a")
+    assert reads.pop() == ["b.ts"] and reads == [] and got["metadata"]["index"]["status"] == "incremental"
+    assert "file_binary" in codes(got) and [e[1] for e in edges(got) if e[0] == "call"] == ["b.ts"]
+    tree(tmp_path, {"bin.ts": "export const late = () => a()\n"})
+    got = engine.explore("callers", "a")
+    assert reads.pop() == ["bin.ts"] and codes(got) == [] and engine.index.files == 3
+    os.remove(os.path.join(root, "bin.ts"))
+    assert engine.warmup() == "incremental" and reads.pop() == [] and engine.index.files == 2
+
+
+def test_failed_refresh_is_done_again(spark, tmp_path, monkeypatch):
+    engine = Engine(spark, tree(tmp_path, {"a.ts": "export function a() {}\n"}))
+    engine.warmup()
+    tree(tmp_path, {"b.ts": "export function b() {}\n"})
+    with monkeypatch.context() as patch:
+        patch.setattr(engine.index, "_assemble", lambda *_: 1 / 0)
+        with pytest.raises(ZeroDivisionError):
+            engine.warmup()
+    assert engine.index.dirty() and engine.warmup() == "incremental"
+    assert {r.target for r in engine.index.edges.select("target").collect()} == {"a", "b"}
+
+
+def test_listing_stops_at_the_budget(spark, tmp_path, monkeypatch):
+    from edgeloom.sources import files as source
+
+    root = tree(tmp_path, {p: "x = 1\n" for p in ("a/z.py", "a.py", "a-b/c.py", "b.txt", "c/d/e.py", "c.py", "d.py", "e/f.py")})
+    paths = [p for p, _, _ in source.walk_tree(root)]
+    assert paths == sorted(paths) and len(paths) == 8
+    walked, real = [], source.walk_tree
+    monkeypatch.setattr(source, "CHUNK", 2)
+    monkeypatch.setattr(source, "walk_tree", lambda *a: (walked.append(x) or x for x in real(*a)))
+    for most, told in ((0, False), (1, True), (3, True), (4, True), (7, False), (9, False)):
+        walked.clear()
+        taken, notes = source.listed(spark, root, ScanLimits(max_files=most))
+        assert [r.path for r in taken.orderBy("path").collect()] == [p for p in paths if p.endswith(".py")][:most]
+        assert [n["code"] for n in notes] == ["file_count_stop"] * told
+        assert len(walked) <= most + 3
+
+
 def test_monorepo(spark, tmp_path):
     files = {
         "package.json": '{"name": "@repo/root"}', "packages/api/package.json": '{"name": "@repo/api"}', "packages/app/package.json": '{"name": "@repo/app"}', "libs/s/deep/package.json": "{bad",
