@@ -13,13 +13,28 @@ SCRIPT_LADDER = ("", ".ts", ".tsx", ".js", ".jsx", "/index.ts", "/index.tsx", "/
 PACKAGE_LADDER = ("", ".ts", ".tsx", ".js", ".jsx", "/index.ts", "/index.tsx", "/index.js")
 
 
+#: A name is hot if more than 1 / HOT_SHARE of all calls (and more than HOT_LEAST) have it, so at most HOT_SHARE names are.
+HOT_SHARE, HOT_LEAST = 1000, 10_000
+
+
+def by_name(calls: DataFrame, names: DataFrame) -> DataFrame:
+    """calls left-joined with names (one row for each `name`). Hot names, of which the number is bounded, are broadcast, so
+    that their calls stay where they are; the others meet in a shuffle."""
+    count = calls.groupBy("name").agg(F.count("*").alias("n"))
+    floor = F.greatest(F.lit(HOT_LEAST), calls.agg(F.count("*") / HOT_SHARE).scalar())
+    hot = count.where(F.col("n") > floor).select("name", F.lit(True).alias("hot"))
+    marked = calls.join(F.broadcast(hot), "name", "left")
+    few = names.join(F.broadcast(hot), "name", "left_semi")
+    return marked.where("hot").join(F.broadcast(few), "name", "left").unionByName(marked.where("hot is null").join(names, "name", "left")).drop("hot")
+
+
 def resolve_calls(edges: DataFrame) -> DataFrame:
     """Relabels call edges from all definitions, and rewrites short names of methods that have one definition.
 
     Per call, by lower-cased names: a definition of the full name leaves the call as it is; otherwise the definitions
     with that short name count. None: heuristic. One in the call's own file: its qualified name, exact. One in all: its
     qualified name, inferred. Several: heuristic. Definitions are aggregated before the joins, so a name that is defined
-    or called very often doesn't multiply rows.
+    or called very often doesn't multiply rows; the calls of a hot name aren't sent to one task.
     """
     defs = edges.where("kind = 'definition'").select(F.lower("target").alias("full"), "target", "file")
     defs = defs.withColumn("short", short_name(F.col("full")))
@@ -29,7 +44,7 @@ def resolve_calls(edges: DataFrame) -> DataFrame:
     short = methods.groupBy(F.col("short").alias("name")).agg(F.count("*").alias("n_all"), F.min("target").alias("t_all"))
     own = methods.groupBy(F.col("short").alias("name"), "file").agg(F.count("*").alias("n_own"), F.min("target").alias("t_own"))
     calls = edges.where("kind = 'call'").withColumn("name", F.lower("target"))
-    calls = calls.join(full, "name", "left").join(short, "name", "left").join(own, ["name", "file"], "left")
+    calls = by_name(calls, full.join(short, "name", "full_outer")).join(own, ["name", "file"], "left")
     branch = (
         F.when(F.col("known"), "full")
         .when(F.col("n_all").isNull(), "none")

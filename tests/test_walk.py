@@ -109,3 +109,23 @@ def test_depth_and_layers(spark):
     edges = [("call", "src/b.spec.ts", "a", "exact", "src/b.spec.ts", 1, 1, 0), ("call", "src/c.ts", "b.spec", "exact", "src/c.ts", 1, 1, 1), ("call", "src/b.ts", "c", "exact", "src/b.ts", 1, 1, 2)]
     walked = walk.upstream(spark.createDataFrame(edges, EDGE_SCHEMA), "a", 5)
     assert walk.impact_layers(walked) == (["b"], ["c"])
+
+
+def test_hot_names_resolve_alike(spark, monkeypatch):
+    from edgeloom.operators import resolve
+
+    defined = [("a.ts", "Box.hot"), ("b.ts", "Box.two"), ("c.ts", "Jar.two"), ("a.ts", "plain"), ("d.ts", "Jar.cold")]
+    called = [(f"{x}.ts", name) for x in "abcd" for name in ("hot", "two", "plain", "cold", "none")] + [("a.ts", "HOT")] * 30 + [("e.ts", "none")] * 25 + [("c.ts", "two")] * 20
+    rows = [("definition", f, t, "exact", f, 1, 1, i) for i, (f, t) in enumerate(defined)]
+    rows += [("call", f, t, "inferred", f, 2, 1, i + 100) for i, (f, t) in enumerate(called)]
+    edges = spark.createDataFrame(rows, EDGE_SCHEMA)
+    plain = sorted(map(str, resolve.resolve_calls(edges).collect()))
+    monkeypatch.setattr(resolve, "HOT_SHARE", 5)
+    monkeypatch.setattr(resolve, "HOT_LEAST", 10)
+    split = sorted(map(str, resolve.resolve_calls(edges).collect()))
+    assert len(plain) == len(rows) and split == plain
+    branches = {(r.file, r.ord): (r.target, r.confidence, r.branch) for r in resolve.resolve_calls(edges).where("kind = 'call'").collect()}
+    assert branches["a.ts", 100] == ("Box.hot", "exact", "samefile") and branches["b.ts", 105] == ("Box.hot", "inferred", "unique")
+    assert branches["b.ts", 106][2] == "samefile" and branches["a.ts", 101] == ("two", "heuristic", "multiple")
+    nothing = edges.where("kind = 'definition'")
+    assert resolve.resolve_calls(nothing).count() == len(defined)
