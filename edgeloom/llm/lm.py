@@ -39,6 +39,8 @@ ORDER = 3
 STRENGTH = (1000.0, 10.0)
 #: Bytes of text of a unit, of a piece of it on its way, and for which there is a bucket.
 UNIT_BYTES, PIECE_BYTES, BUCKET_BYTES = 12 << 20, 2 << 20, 4 << 20
+#: Bytes of text for which there is a file of answers, at least: each file starts processes to set modes.
+FILE_BYTES = 16 << 20
 #: No word contains a line feed, so this is the end token's.
 END = np.uint64(xxhash.xxh3_64_intdigest(b"\n"))
 
@@ -212,7 +214,8 @@ def score(docs: DataFrame, held_out: Column, longest: int = ORDER, unit_bytes: i
     buckets = max(1, -(-size // bucket_bytes))
 
     asked = docs.mapInArrow(_questions(longest, unit_bytes, buckets), "ord int, bucket long, unit long, names binary, counts binary")
-    answers = stored(asked.groupBy("ord", "bucket").applyInArrow(_answer, _ANSWERS), "counts")
+    answers = asked.groupBy("ord", "bucket").applyInArrow(_answer, _ANSWERS)
+    answers = stored(answers.coalesce(max(1, -(-size // FILE_BYTES))), "counts")
     total, known = (int(x or 0) for x in answers.where("unit is null and ord = 1").agg(F.sum("total"), F.sum("known")).first())
 
     def run(pieces: pa.Table, answers: pa.Table) -> pa.Table:
