@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.paths import extension
 from ..model import EDGE_COLUMNS
+from ..plans.settle import settled
 from .resolve import covered_interfaces, resolve_calls, resolve_imports
 
 
@@ -35,11 +36,15 @@ def raw_edges(raw: DataFrame, files: DataFrame, packages: DataFrame) -> DataFram
 
 
 def edges_of(rows: DataFrame) -> DataFrame:
-    """Edges with calls resolved, numbered in their order. The number is a file's rank and the place in it."""
+    """Edges with calls resolved, numbered in their order. The number is a file's rank and the place in it.
+
+    Rows and numbered rows are settled: they are read many times below, and their plans are long.
+    """
+    rows = settled(rows)
     order = Window.partitionBy("file").orderBy("section", "seq", "target")
     inside = rows.withColumn("n", F.row_number().over(order))
     sizes = rows.groupBy("family", "file").agg(F.count("*").alias("n_file"))
     # One row for each file, of which a scan has a bounded number (its file budget).
     before = sizes.withColumn("base", F.coalesce(F.sum("n_file").over(Window.orderBy("family", "file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     numbered = inside.join(before.select("file", "base"), "file").withColumn("ord", F.col("base") + F.col("n"))
-    return resolve_calls(numbered.select(*EDGE_COLUMNS, "child")).select(*EDGE_COLUMNS, "child")
+    return resolve_calls(settled(numbered.select(*EDGE_COLUMNS, "child"))).select(*EDGE_COLUMNS, "child")
