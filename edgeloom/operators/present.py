@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..messages import message
 from ..model import DEFAULT_LIMIT, LIMIT_CAP, SNIPPET_CHARS, SNIPPET_LINES, diagnostic
 
 
@@ -12,7 +13,7 @@ def clamp_limit(requested: int | None, notes: list[dict]) -> int:
     """The limit in force; a larger one than the cap is noted, a smaller one than 1 counts as 1."""
     limit = DEFAULT_LIMIT if requested is None else requested
     if limit > LIMIT_CAP:
-        notes.append(diagnostic("partial", f"limit {limit} clamped to hard cap {LIMIT_CAP}"))
+        notes.append(diagnostic("partial", message("limit_clamped", limit=limit, cap=LIMIT_CAP)))
     return max(1, min(limit, LIMIT_CAP))
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.names import is_test_path, matches_node
 from ..functions.paths import forward, language
+from ..messages import message
 from ..model import Answer, diagnostic
 
 
@@ -97,8 +98,8 @@ def candidate_answer(defs: DataFrame, target: str, limit: int) -> Answer:
     total = found.count()
     notes = []
     if total > 1:
-        notes.append(diagnostic("ambiguous_target", f"{total} symbols match '{target}'; disambiguate by path or qualified name"))
+        notes.append(diagnostic("ambiguous_target", message("ambiguous_target", n=total, target=target)))
     if total > limit:
-        notes.append(diagnostic("truncated", f"{total - limit} more candidates beyond limit"))
+        notes.append(diagnostic("truncated", message("more_candidates", n=total - limit)))
     rows = [{"name": r.name, "path": r.path, "language": r.language, "line": r.line} for r in ranked(found, limit).collect()]
     return Answer(candidates=rows, truncated=total > limit, total=total, diagnostics=notes)

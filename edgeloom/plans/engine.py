@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.names import aliases_for, matches_alias, matches_import, matches_node, short_of, wanted_kinds
 from ..functions.paths import forward, under
+from ..messages import message
 from ..model import CAPABILITIES, DEFAULT_DEPTH, DEPTH_CAP, EDGE_COLUMNS, MODES, RETRY_AFTER_MS, SNIPPET_CHARS, SNIPPET_LINES, TIMEOUT_MS, Answer, Query, ScanLimits, diagnostic
 from ..operators import target as targets
 from ..operators import walk
@@ -42,7 +43,7 @@ def limits_from(config: dict) -> ScanLimits:
 def _depth(query: Query, notes: list[dict]) -> int:
     depth = DEFAULT_DEPTH if query.max_depth is None else query.max_depth
     if depth > DEPTH_CAP:
-        notes.append(diagnostic("partial", f"max_depth {depth} clamped to hard cap {DEPTH_CAP}"))
+        notes.append(diagnostic("partial", message("depth_clamped", depth=depth, cap=DEPTH_CAP)))
     return walk.clamp_depth(depth)
 
 
@@ -56,15 +57,15 @@ def filtered(edges: DataFrame, query: Query, packages: dict[str, str]) -> DataFr
     return out
 
 
-def _selected(found: walk.Selection, limit: int, notes: list[dict], message: str | None = None) -> Answer:
+def _selected(found: walk.Selection, limit: int, notes: list[dict], more: str | None = None) -> Answer:
     if found.total > limit:
-        notes = [*notes, diagnostic("truncated", message or f"{found.total - limit} more relations beyond limit")]
+        notes = [*notes, diagnostic("truncated", more or message("more_relations", n=found.total - limit))]
     return Answer(paths=[{"edges": [edge_dict(r)]} for r in found.rows[:limit]], truncated=found.total > limit, total=found.total, diagnostics=notes)
 
 
 def _no_path(notes: list[dict], query: Query, name: str, depth: int | None) -> Answer:
-    within = "" if depth is None else f" within depth {depth}"
-    return Answer(diagnostics=[*notes, diagnostic("no_path", f"no call path from {name} to {query.path_to}{within}")])
+    why = "no_path" if depth is None else "no_path_within"
+    return Answer(diagnostics=[*notes, diagnostic("no_path", message(why, source=name, target=query.path_to, depth=depth))])
 
 
 def answer(edges: DataFrame, query: Query, packages: dict[str, str] | None = None, scan_notes: list[dict] | None = None) -> Answer:
@@ -72,7 +73,7 @@ def answer(edges: DataFrame, query: Query, packages: dict[str, str] | None = Non
     edges = edges.select(*EDGE_COLUMNS)
     notes = list(scan_notes or [])
     if notes and all(n["code"] != "partial" for n in notes):
-        notes.insert(0, diagnostic("partial", "index deviations occurred; see accompanying diagnostics"))
+        notes.insert(0, diagnostic("partial", message("deviations")))
     own = [n for n in notes if n["code"] != "partial"]
     limit = clamp_limit(query.limit, notes)
     wanted = filtered(edges, query, packages or {})
@@ -85,7 +86,7 @@ def answer(edges: DataFrame, query: Query, packages: dict[str, str] | None = Non
             return got
         name, needle = found.name, found.needle
         if found.kind == "miss":
-            miss = Answer(diagnostics=[*own, diagnostic("unknown_target", f"no graph node matches '{query.target}'")])
+            miss = Answer(diagnostics=[*own, diagnostic("unknown_target", message("unknown_target", target=query.target))])
             if query.relation != "import" or not needle:
                 return miss
             matching = wanted.where(matches_import(F.col("target"), needle))
@@ -111,7 +112,7 @@ def answer(edges: DataFrame, query: Query, packages: dict[str, str] | None = Non
         anchor = walk.select(edges.where((F.col("kind") == "definition") & matches_node(F.col("target"), called)), limit)
         rest = walked.orderBy("hop", "rank").limit(limit).collect()
         direct, transitive = walk.impact_layers(walked)
-        got = _selected(walk.Selection([*anchor.rows, *rest], anchor.total + walked.count()), limit, notes, "impact edges beyond limit")
+        got = _selected(walk.Selection([*anchor.rows, *rest], anchor.total + walked.count()), limit, notes, message("more_impact"))
         got.impact = {"direct": direct, "transitive": transitive, "maxDepth": depth}
         return got
     if query.mode == "callers" and query.relation is None and query.target is not None:
@@ -139,8 +140,8 @@ class Engine:
             metadata = {**metadata, "impact": got.impact}
         return {"mode": mode, "paths": got.paths, "candidates": got.candidates, "truncated": got.truncated, "total": got.total, "diagnostics": got.diagnostics, "metadata": metadata}
 
-    def _indexing(self, mode: str, message: str) -> dict:
-        note = Answer(diagnostics=[diagnostic("indexing", message)])
+    def _indexing(self, mode: str, why: str) -> dict:
+        note = Answer(diagnostics=[diagnostic("indexing", why)])
         return self._response(mode, note, self._metadata("indexing", progress=self.index.files, retryAfterMs=RETRY_AFTER_MS))
 
     def explore(self, mode: str | None = None, target: str | None = None, **options) -> dict:
@@ -148,7 +149,7 @@ class Engine:
         if not self.enabled:
             raise RuntimeError("the engine is not enabled")
         if mode not in MODES:
-            note = Answer(diagnostics=[diagnostic("invalid_mode", f"mode must be one of {', '.join(MODES)}")])
+            note = Answer(diagnostics=[diagnostic("invalid_mode", message("invalid_mode", modes=", ".join(MODES)))])
             return self._response(mode or "", note, {"capabilities": CAPABILITIES, "index": {"status": "empty"}})
         known = {f.name for f in fields(Query)}
         query = Query(mode, target, **{k: v for k, v in options.items() if k in known})
@@ -156,9 +157,9 @@ class Engine:
         if budget is None:
             budget = int(self.config.get("build_timeout_ms", TIMEOUT_MS))
         if budget <= 0 and self.index.dirty():
-            return self._indexing(mode, "index build/refresh required and the timeout budget is exhausted; retry the same query")
+            return self._indexing(mode, message("no_budget"))
         if budget > 0 and not self._fresh_within(budget):
-            return self._indexing(mode, f"index build/refresh exceeded {budget}ms; retry the same query")
+            return self._indexing(mode, message("late", ms=budget))
         got = answer(self.index.edges, query, self.index.packages, self.index.diagnostics)
         if query.include_snippets:
             self._attach(got)

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..extract.registry import extract_files
 from ..functions.paths import extension
+from ..messages import message
 from ..model import ScanLimits, diagnostic
 from ..operators.assemble import edges_of, raw_edges
 from ..sources.files import UNREADABLE, listed, read_files, skip_notes
@@ -95,7 +96,7 @@ class ProjectIndex:
         table = self.spark.createDataFrame(packages, "dir string, name string, ord int")
         self.raw = raw
         failed = [r.file for r in raw.where("kind = 'failed'").select("file").orderBy("file").collect()]
-        self.diagnostics += [diagnostic("partial", f"extraction failed for {path}") for path in failed]
+        self.diagnostics += [diagnostic("partial", message("failed", path=path)) for path in failed]
         self.edges = settled(edges_of(raw_edges(raw, files, table)))
 
     def _save(self) -> None:

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.paths import extension
+from ..messages import message
 from ..model import EXCLUDED_DIRECTORIES, SCANNED_EXTENSIONS, ScanLimits, diagnostic
 
 LISTING = "path string, size long, mtime_ms double"
@@ -127,11 +128,7 @@ def skip_code(size: Column, content: Column, limits: ScanLimits) -> Column:
 
 
 def skip_message(code: str, path: str, size: int, limits: ScanLimits) -> str:
-    return {
-        "file_oversize": f"{path} is {size} bytes (cap {limits.max_file_bytes})",
-        "file_binary": f"{path} looks binary (NUL or control bytes)",
-        "file_decode_failed": f"{path} is not decodable as UTF-8 or a known BOM encoding",
-    }[code]
+    return message(code, path=path, size=size, cap=limits.max_file_bytes)
 
 
 def walk_tree(root: str, lines: tuple[str, ...] = ()) -> Iterator[tuple[str, int, float]]:
@@ -213,7 +210,7 @@ def listed(spark: SparkSession, root: str, limits: ScanLimits) -> tuple[DataFram
         left = replace(limits, max_files=limits.max_files - len(taken))
         taken += within_budget(eligible(spark.createDataFrame(chunk, LISTING), left, lines), left).collect()
         if len(taken) >= limits.max_files and (chunk[-1][0] > taken[-1].path or next(entries, None)):
-            notes.append(diagnostic("file_count_stop", f"scan stopped at {limits.max_files} files; raise max_files to index more"))
+            notes.append(diagnostic("file_count_stop", message("file_count_stop", files=limits.max_files)))
     return spark.createDataFrame(taken, LISTING), notes
 
 
