@@ -1,8 +1,8 @@
 """Exact dedup by deterministic block naming.
 
 A text (A-Z lower-cased, UTF-8; null is empty) is cut into blocks of fixed size. All blocks are sorted and each
-distinct block gets the integer of its rank; then adjacent pairs of names are named in the same way, level by level,
-until each document has one name. Two documents have the same (levels, name) exactly if their texts are equal: names
+distinct block gets an integer, its partition and its rank there; then adjacent pairs of names are named in the same way,
+level by level, until each document has one name. Two documents have the same (levels, name) exactly if their texts are equal: names
 come from sorting the contents, so no collision can merge texts.
 
 One sort moves the contents once. The order is (64-bit hash, content, place); the range partitions are cut at (hash,
@@ -17,6 +17,7 @@ their id is the largest. An empty table gives no rows. Other columns are ignored
 from __future__ import annotations
 
 import hashlib
+from functools import reduce
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -95,34 +96,30 @@ def named(blocks: DataFrame, partitions: int, what: str) -> DataFrame:
     ordered = ordered.repartitionByRange(partitions, "h", "row", "pos").sortWithinPartitions("h", "block")
     ranked = stored(ordered.mapInArrow(_ranked, _ddl(_OWN + _RANK)), what)
 
-    ends = sorted(ranked.groupBy("part").agg(F.max("rank"), F.min("h").alias("first"), F.max("h").alias("last")).collect())
-    offsets, at = [], 0
-    for part, top, _, _ in ends:
-        offsets.append((part, at))
-        at += top + 1
-    offsets = spark.createDataFrame(offsets, "part int, offset long")
-    out = ranked.where("row is not null").join(F.broadcast(offsets), "part")
-    name = F.col("rank") + F.col("offset")
+    ends = sorted(ranked.groupBy("part").agg(F.min("h").alias("first"), F.max("h").alias("last")).collect())
+    out, name = ranked.where("row is not null"), F.shiftleft(F.col("part").cast("long"), 40).bitwiseOR(F.col("rank"))
     if shared := sorted({b.first for a, b in zip(ends, ends[1:], strict=False) if a.last == b.first}):
         # Contents that go on from an earlier partition, a few in each, take the name that they have there.
         hashes = spark.createDataFrame([(h,) for h in shared], "h long")
-        edges = ranked.where("edge is not null").join(F.broadcast(hashes), "h", "left_semi").select("part", "rank", "h", "edge")
-        one = edges.groupBy("h", "edge").agg(F.min(F.struct("part", "rank")).alias("one")).select("h", "edge", "one.*")
-        one = one.join(F.broadcast(offsets), "part").select("h", "edge", F.col("part").alias("origin"), name.alias("moved"))
-        moved = edges.join(one, ["h", "edge"]).where("part <> origin").select("part", "rank", "moved")
+        edges = ranked.where("edge is not null").join(F.broadcast(hashes), "h", "left_semi").select("part", "rank", "h", "edge", name.alias("own"))
+        one = edges.groupBy("h", "edge").agg(F.min("own").alias("moved"))
+        moved = edges.join(one, ["h", "edge"]).where("own <> moved").select("part", "rank", "moved")
         out, name = out.join(F.broadcast(moved), ["part", "rank"], "left"), F.coalesce("moved", name)
     return out.select(*(x for x, _, _ in _OWN), name.alias("name"))
 
 
 def identities(docs: DataFrame, block: int = BLOCK) -> DataFrame:
-    """doc_id, text_sha256, levels and name of each row; (levels, name) is equal exactly for equal texts."""
+    """doc_id, text_sha256, levels and name of each row; (levels, name) is equal exactly for equal texts.
+
+    Rows of one block are done at once. Only the blocks of the others go up the levels, stored at each so that no level
+    works out the names of an earlier one again; their documents meet the names of all levels in one join.
+    """
     docs = text_rows(docs)
     rows = docs.count()
     names = named(docs.mapInArrow(_cut(block), _ddl(_CUT)), min(partitions_for(docs.sparkSession, rows, 50_000), rows // 1000 + 1), "blocks")
-    facts = names.where("pos = 0").select("row", "doc_id", "blocks", "text_sha256", "name")
-    done = facts.where("blocks = 1").select("doc_id", "text_sha256", F.lit(0).alias("levels"), "name")
-    facts, level = facts.drop("name"), 0
-    open_ = names.where("blocks > 1")
+    done = names.where("blocks = 1").select("doc_id", "text_sha256", F.lit(0).alias("levels"), "name")
+    open_, level, ends = stored(names.where("blocks > 1"), "open-0"), 0, []
+    facts = open_.where("pos = 0").select("row", "doc_id", "text_sha256")
     while (left := open_.count()) > 0:
         level += 1
         side = lambda k: F.max(F.when(F.col("pos") % 2 == k, F.col("name")))
@@ -130,9 +127,11 @@ def identities(docs: DataFrame, block: int = BLOCK) -> DataFrame:
         pairs = pairs.withColumn("block", F.concat_ws(":", "a", F.coalesce(F.col("b").cast("string"), F.lit("-"))).cast("binary"))
         pairs = pairs.select("row", F.lit(None).cast("long").alias("doc_id"), "pos", "blocks", F.lit(None).cast("string").alias("text_sha256"), "block")
         names = named(pairs, left // 200_000 + 1, f"pairs-{level}")  # pairs are a few bytes
-        ends = names.where("blocks = 1").select("row", "name").join(facts.drop("blocks"), "row")
-        done = done.unionByName(ends.select("doc_id", "text_sha256", F.lit(level).alias("levels"), "name"))
-        open_ = names.where("blocks > 1")
+        ends.append(names.where("blocks = 1").select("row", F.lit(level).alias("levels"), "name"))
+        open_ = stored(names.where("blocks > 1"), f"open-{level}")
+    if ends:
+        long = facts.join(reduce(DataFrame.unionByName, ends), "row")
+        done = done.unionByName(long.select("doc_id", "text_sha256", "levels", "name"))
     return stored(done, "identities")
 
 

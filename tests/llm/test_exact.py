@@ -37,3 +37,34 @@ def test_names_agree_over_the_borders_of_partitions(spark, docs):
 
 def test_empty_table(docs):
     assert exact_groups(docs([])).collect() == []
+
+
+def rows_of_joins(spark, work):
+    """Rows that come out of all joins while `work` runs."""
+    store, bus = spark._jsparkSession.sharedState().statusStore(), spark.sparkContext._jsc.sc().listenerBus()
+
+    def ids():
+        bus.waitUntilEmpty(60_000)
+        runs = store.executionsList()
+        return {runs.apply(i).executionId() for i in range(runs.size())}
+
+    before, total = ids(), 0
+    work()
+    for run in ids() - before:
+        values, nodes = store.executionMetrics(run), store.planGraph(run).allNodes()
+        for node in map(nodes.apply, range(nodes.size())):
+            metrics = node.metrics()
+            for metric in map(metrics.apply, range(metrics.size() if "Join" in node.name() else 0)):
+                if metric.name() == "number of output rows" and values.contains(metric.accumulatorId()):
+                    total += int(values.apply(metric.accumulatorId()).replace(",", ""))
+    return total
+
+
+def test_more_levels_do_not_join_all_rows_again(spark, docs):
+    rows = [(i, "the same text again" if i % 3 else f"text {i}") for i in range(3000)] + [(i, f"{i % 2}" * 2000) for i in range(3000, 3004)]
+    flat = rows_of_joins(spark, lambda: exact_groups(docs(rows), 4096).collect())  # one block each
+    deep = rows_of_joins(spark, lambda: exact_groups(docs(rows), 32).collect())  # four texts of 63 blocks: six levels
+    assert flat >= len(rows)  # the join with the groups
+    assert deep <= flat + 1500
+    out = exact_groups(docs(rows), 32).collect()
+    assert sorted(map(tuple, out)) == sorted(brute(rows))
